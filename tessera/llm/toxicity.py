@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import exp, log
 from zlib import crc32
 
 import ahocorasick
@@ -13,16 +14,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spare_name
+from tessera.llm.common import spare_name, written
 
 #: Expected labelled documents per class that the scorer is fitted on, drawn by a hash of doc_id.
 TRAIN_DOCS = 6000
 #: Evidence goes to the driver: at most this many cues, each seen in LEAST toxic documents or more.
 MOST_CUES, LEAST = 4000, 3
+#: Chance that any cue is taken by accident (Chernoff's bound on the binomial tail, divided by the cues seen).
+ACCIDENT = 0.01
 #: A cue is a whole word (0) or a beginning of this many letters.
 LENGTHS = (0, 3, 4, 5, 6)
 #: A cue counts if its documents are toxic by this share at least.
-PRECISION = 0.85
+PRECISION = 0.95
 #: Cues that may explain one document.
 COVERS = 3
 #: Costs of the channel, in nats: reading a sign as a letter, dropping a sign, dropping a gap, one letter of a run.
@@ -156,7 +159,7 @@ class Restorer(dict):
 def cues(restored: str) -> set[str]:
     found = set()
     for w in set(restored.split()):
-        found.update(f" {w} " if not n else f" {w[:n]}" for n in LENGTHS if not n or len(w) > n)
+        found.update(f" {w} " if not n else f" {w[:n]}" for n in LENGTHS if not n or len(w) >= n)
     return found
 
 
@@ -175,8 +178,8 @@ def fit(docs: DataFrame, labelled: DataFrame, model: np.ndarray, *, train_docs:
     The scorer reads a bounded sample of whole labelled texts. Per cue the toxic and clean
     documents of the sample are counted; then cues are taken greedily, each by the toxic
     documents that fewer than COVERS earlier ones explain. Documents that share the least hash
-    of their words count once there, so that the private vocabulary of a copied document isn't
-    taken for toxic.
+    of their words count once there, and a cue has to be toxic beyond accident by that count,
+    so that the private vocabulary of a copied document isn't taken for toxic.
     """
     known = labelled.filter(F.col("toxic").isNotNull() & F.col("text").isNotNull())
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -198,6 +201,8 @@ def fit(docs: DataFrame, labelled: DataFrame, model: np.ndarray, *, train_docs:
         yield pd.DataFrame({"cue": rest, "bad": 0, "good": [good[c] for c in rest]}).astype({"cue": "object", "bad": "int64", "good": "int64"})
 
     counts = sample.mapInPandas(count, "cue string, bad long, good long").groupBy("cue").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = written(counts, "cues")
+    seen, rate = counts.count(), n[1] / (n[1] + n.get(0, 0))
     sharp = counts.filter((F.col("bad") >= LEAST) & (F.col("bad") >= PRECISION * (F.col("bad") + F.col("good") * scale)))
     table = {r["cue"]: (r["bad"], r["good"]) for r in sharp.orderBy(F.desc("bad"), "cue").limit(MOST_CUES).collect()}
     names = sorted(table)
@@ -213,14 +218,23 @@ def fit(docs: DataFrame, labelled: DataFrame, model: np.ndarray, *, train_docs:
         return {}
     found: dict[str, float] = {}
     left = [[r["kind"], set(r["cues"]), COVERS] for r in sample.filter(F.col("toxic") == 1).mapInPandas(present, "cues array<int>, kind long").collect()]
-    while True:
+
+    def by_kind() -> dict[int, set]:
         kinds = defaultdict(set)
         for kind, has, _ in left:
             for i in has:
                 kinds[i].add(kind)
-        best = max(kinds, key=lambda i: (len(kinds[i]), table[names[i]][0], -len(names[i]), names[i]), default=None)
-        if best is None or len(kinds[best]) < LEAST:
-            break
+        return kinds
+
+    def by_accident(bad: int, good: float) -> float:
+        share = bad / (bad + good)
+        apart = share * log(share / rate) + ((1 - share) * log((1 - share) / (1 - rate)) if share < 1 else 0)
+        return exp(-(bad + good) * apart) if share > rate else 1.0
+
+    sure = {i for i, kinds in by_kind().items() if by_accident(len(kinds), table[names[i]][1] * scale) * seen <= ACCIDENT}
+    left = [[kind, has & sure, more] for kind, has, more in left]
+    while kinds := by_kind():
+        best = max(kinds, key=lambda i: (len(kinds[i]), table[names[i]][0], -len(names[i]), names[i]))
         bad, good = table[names[best]]
         found[names[best]] = (bad + 0.5) / (bad + good * scale + 1)
         same = {i for i in kinds if names[i].startswith(names[best]) or names[best].startswith(names[i])}
