@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, langid, mixing, quality, secrets, sharding, toxicity, warc
+from tessera.llm import decontam, langid, mixing, neardup, quality, secrets, sharding, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.query(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_mixing, op5_secrets, op6_decontamination, op8_toxicity, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_quality_rules, op4_mixing, op5_secrets, op6_decontamination, op8_toxicity, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
