@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, langid, mixing, neardup, quality, secrets, sharding, toxicity, warc
+from tessera.llm import decontam, langid, linededup, mixing, neardup, quality, secrets, sharding, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.query(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_quality_rules, op4_mixing, op5_secrets, op6_decontamination, op8_toxicity, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_near_duplicates, op3_quality_rules, op4_mixing, op5_secrets, op6_decontamination, op7_line_dedup, op8_toxicity, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
