@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import spare_name, written
 
-#: Expected labelled documents per class that the scorer is fitted on, drawn by a hash of doc_id.
+#: Labelled documents per class that the scorer is fitted on at most, by least hash of doc_id.
 TRAIN_DOCS = 6000
 #: Evidence goes to the driver: at most this many cues, each seen in LEAST toxic documents or more.
 MOST_CUES, LEAST = 4000, 3
@@ -173,21 +173,22 @@ def _matcher(known: list[str]) -> ahocorasick.Automaton:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, model: np.ndarray, *, train_docs: int = TRAIN_DOCS) -> dict[str, float]:
-    """{cue: probability that a document with it is toxic} from rows (text, toxic, doc_id).
+    """{cue: probability that a document with it is toxic} from ``docs`` and rows (doc_id, toxic).
 
-    The scorer reads a bounded sample of whole labelled texts. Per cue the toxic and clean
+    The scorer reads a bounded sample of whole labelled texts: the ids of at most ``train_docs``
+    of each class are broadcast, so no text is shuffled. Per cue the toxic and clean
     documents of the sample are counted; then cues are taken greedily, each by the toxic
     documents that fewer than COVERS earlier ones explain. Documents that share the least hash
     of their words count once there, and a cue has to be toxic beyond accident by that count,
     so that the private vocabulary of a copied document isn't taken for toxic.
     """
-    known = labelled.filter(F.col("toxic").isNotNull() & F.col("text").isNotNull())
+    known = labelled.filter(F.col("toxic").isNotNull())
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not n.get(1):
         return {}
-    drawn = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, F.lit(train_docs / n[1])).otherwise(F.lit(train_docs / max(1, n.get(0, 0))))
-    sample = known.filter(drawn < share).select("doc_id", "toxic", "text")
+    drawn = [known.filter(F.col("toxic") == x).orderBy(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), "doc_id").limit(train_docs) for x in (0, 1)]
+    ids = drawn[0].union(drawn[1]).select(F.col("doc_id").alias("_d"), "toxic")
+    sample = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_d")).select("toxic", "text")
     scale = max(1.0, n.get(0, 0) / train_docs) / max(1.0, n[1] / train_docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -275,8 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
     """
     model = character_model(docs)
     marks = labels.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", "text").filter(~held_out()).join(marks, "doc_id")
-    return model, fit(docs, known, model)
+    return model, fit(docs.filter(~held_out()), marks, model)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
