@@ -515,6 +515,10 @@ class Database:
         self._after(table, "INSERT", new=changed)
         return changed
 
+    def insert_rows(self, table: str, df: DataFrame, **how) -> None:
+        """Add the rows of any DataFrame as one statement: the way in for bulk loads."""
+        self._statement(lambda: self.insert(table, df, **how))
+
     def _unique(self, rows: DataFrame, existing: DataFrame, meta: dict, table: str) -> None:
         dml.check_unique(rows, existing, meta, table)
         for keys in meta.get("unique_sets", []):
