@@ -166,6 +166,67 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", _hashes(F.col("_lt")).alias("left"), _hashes(F.col("_rt")).alias("right")).mapInArrow(_verify_batches, "a long, b long")
 
 
+def _possible(common_a: str, common_b: str, size_a: str, size_b: str) -> Column:
+    """Whether an overlap of at most the lesser common weight can make two bags similar."""
+    most = F.least(F.col(common_a), F.col(common_b))
+    return sum(SIMILAR) * most >= SIMILAR[0] * (F.col(size_a) + F.col(size_b))
+
+
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists, nodes = batch.column("words"), batch.column("node").to_numpy()
+        for i in range(len(batch)):
+            found, weights = bag(lists[i].values.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), nodes[i])), pa.array(found.view(np.int64)), pa.array(weights.astype(np.int64))], names=["node", "shingle", "weight"])
+
+
+def _promising(left: DataFrame, shingled: DataFrame) -> DataFrame:
+    """Rows (key, node, size, label) of ``left`` that may still have a similar partner, with ``common``.
+
+    ``common`` is the weight of a node's shingles that any other node of ``left`` has too; no
+    overlap is larger. A node goes out of a bucket if even the bucket's smallest member, shared
+    to that extent, isn't similar to it: an exact bound, so no link is lost. It clears out the
+    copies that were edited so often that they are similar to nothing, which would otherwise
+    be paired with every member of their group.
+    """
+    alone = shingled.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).filter("n = 1")
+    alone = alone.groupBy("node").agg(F.sum("weight").alias("alone"))
+    least = left.groupBy("key").agg(F.min("size").alias("least"))
+    known = left.join(alone, "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
+    known = known.join(least, "key").withColumn("partner", F.greatest("least", "common"))
+    return _mixed(known.filter(_possible("common", "common", "size", "partner")).select("key", "node", "size", "label", "common"))
+
+
+def _sharing_prefixes(left: DataFrame, shingled: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of ``left`` in different components that may be similar.
+
+    Bags are read as sets of (shingle, occurrence), in one order for all, rare ones first. Two
+    bags of similarity t share more than t of either, so they share an element among the first
+    1 - t of each; and from their first shared element on, either has to hold the whole overlap.
+    That bound is part of the join's condition: the row of the first shared element meets it for
+    every similar pair, while copies that were edited apart meet it nowhere.
+    """
+    nodes = left.select("node", "size", "label").distinct()
+    occurrences = F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))
+    each = shingled.join(nodes, "node").withColumn("nth", occurrences).select("node", "size", "label", F.when(F.col("nth") == 1, F.col("shingle")).otherwise(F.xxhash64("shingle", "nth")).alias("element"))
+    counts = each.groupBy("element").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("node").orderBy("n", "element")
+    ranked = each.join(counts, "element").withColumn("before", F.row_number().over(order) - 1)
+    prefix = ranked.filter((F.col("n") > 1) & (SIMILAR[1] * F.col("before") <= (SIMILAR[1] - SIMILAR[0]) * F.col("size")))
+    prefix = written(prefix.select("element", "node", "size", "label", "before"), "prefix")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    rest = F.least(F.col("x.size") - F.col("x.before"), F.col("y.size") - F.col("y.before"))
+    enough = sum(SIMILAR) * rest >= SIMILAR[0] * (F.col("x.size") + F.col("y.size"))
+    found = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.label") < F.col("y.label")) & enough)
+    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component."""
+    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+    return members.join(mixed, "key")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_id, class_id) of each row of ``docs``: class_id is the least doc_id of its class.
 
@@ -173,8 +234,9 @@ def classes(docs: DataFrame) -> DataFrame:
     or more of their multisets of five-word shingles. Exact copies are one node of the graph,
     so a group of copies costs one signature row. In each band's bucket all members are
     compared with three leaders, the least by three fixed orders, so a bucket of any size gives
-    a linear number of pairs. Buckets whose members are then still in several components have
-    the pairs across components compared, unless their sizes rule similarity out: no link of a
+    a linear number of pairs. In buckets whose members are then still in several components the
+    least edited member is compared with the others. Of the members that remain mixed, the pairs
+    across components are compared that exact bounds on their overlap leave: no link of a
     bucket is lost, and pairs within a component are never listed.
 
     A null text is a class of its own, with its doc_id; wordless texts are similar to exact
@@ -202,15 +264,23 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = components(edges)
 
     named = members.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    left = written(named.join(open_, "key"), "open")
-    x, y = left.alias("x"), left.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))
-    sizes = (SIMILAR[1] * F.least("x.size", "y.size")) >= (SIMILAR[0] * F.greatest("x.size", "y.size"))
-    across = x.join(y, apart & sizes).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    across = written(across.join(pairs, ["a", "b"], "left_anti"), "across")
-    more = verify(across, texts)
-    labels = components(written(edges.union(more), "similar"))
+    left = written(_mixed(named), "open")
+    shingled = texts.join(left.select("node").distinct(), "node").select("node", _hashes(F.col("text")).alias("words"))
+    shingled = written(shingled.mapInArrow(_shingle_batches, "node long, shingle long, weight long"), "shingles")
+    left = written(_promising(left, shingled), "promising")
+
+    # The member of most common weight is the least edited copy, which most of the others resemble.
+    best = left.groupBy("key").agg(F.max_by(F.struct("node", "label", "common", "size"), F.struct("common", "node")).alias("y"))
+    central = left.alias("x").join(best, "key").filter((F.col("x.label") != F.col("y.label")) & _possible("x.common", "y.common", "x.size", "y.size"))
+    central = central.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    central = written(central.join(pairs, ["a", "b"], "left_anti"), "central")
+    edges = written(edges.union(verify(central, texts)), "similar")
+    labels = components(edges)
+
+    left = _mixed(left.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    across = _sharing_prefixes(written(left, "left"), shingled).select("a", "b")
+    across = written(across.join(pairs.union(central), ["a", "b"], "left_anti"), "across")
+    labels = components(written(edges.union(verify(across, texts)), "similar"))
 
     known = nodes.select("node", "text_id", "first_doc").join(labels, "node", "left")
     joined = known.filter(F.col("label").isNotNull())
