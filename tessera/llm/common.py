@@ -69,6 +69,11 @@ def spare_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` as one struct column ``row`` beside the columns ``names``: no other column can clash with what an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{n}`").alias(n) for n in names])
+
+
 def ranked_within(df: DataFrame, group: str, order: list[Column], label: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``rank_in_group``: 1, 2, ... in ``order`` within each value of ``group``.
 

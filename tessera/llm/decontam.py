@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, spare_name, text_key
+from tessera.llm.common import let, packed, text_key
 
 WINDOW = 10
 #: The distinct windows of the benchmark are counted up to this before they go into the plan as a hash set; beyond it they are joined.
@@ -84,14 +84,13 @@ def _covered(spans: Column) -> Column:
 
 
 def _by_join(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """``docs`` with ``_found`` for a benchmark of any size: hashes of windows are joined, then grams compared.
+    """``docs`` (row, text) with ``_found`` for a benchmark of any size: hashes of windows are joined, then grams compared.
 
     Each text is scanned once however often it is repeated, and a join deals windows by their
     hash, so neither a copied document nor a frequent window meets in one task.
     """
-    key = spare_name(docs, "_text_id")
-    marked = docs.withColumn(key, text_key(F.col("text")))
-    texts = marked.select(F.col(key).alias("_t"), F.col("text").alias("_x")).dropDuplicates(["_t"])
+    marked = docs.withColumn("text_id", text_key(F.col("text")))
+    texts = marked.select(F.col("text_id").alias("_t"), F.col("text").alias("_x")).dropDuplicates(["_t"])
 
     def of_length(w: Column, n: int) -> Column:
         return F.transform(_hashes(w, n), lambda x: F.struct(x["p"].alias("p"), F.lit(n).alias("n"), x["h"].alias("h")))
@@ -100,28 +99,29 @@ def _by_join(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFra
     spots = texts.select("_t", let(normal_words(F.col("_x")), every).alias("_s"))
     spots = spots.select("_t", F.explode("_s").alias("s")).select("_t", "s.*")
     hits = spots.join(windows, ["n", "h"]).groupBy("_t").agg(F.collect_list(F.struct("p", "n", "gram", "items")).alias("_hits"))
-    joined = marked.join(hits, marked[key] == hits["_t"], "left")
+    joined = marked.join(hits, F.col("text_id") == F.col("_t"), "left")
     checked = let(normal_words(F.col("text")), lambda ws: F.filter(F.col("_hits"), lambda x: _gram(ws, x["p"], x["n"]) == x["gram"]))
     found = F.transform(checked, lambda x: F.struct(x["p"].alias("p"), x["n"].alias("n"), x["items"].alias("items")))
-    return joined.withColumn("_found", F.coalesce(found, F.array().cast(_FOUND))).drop("_t", "_hits", key)
+    return joined.withColumn("_found", F.coalesce(found, F.array().cast(_FOUND))).drop("_t", "_hits", "text_id")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """``docs`` with a struct column ``_match``: n_words, n_hit, items (sorted strings), found (spans of words).
+    """``row``, each row of ``docs`` as a struct, its ``text``, and a struct ``_match``: n_words, n_hit, items (sorted strings), found (spans of words).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but at least
     one, is one window. A word of a document is hit if any occurrence of any window covers it.
     Null and wordless documents have no hits, wordless items no windows; items of null id
     cover words but aren't named. Repeated items count once.
     """
+    rows = packed(docs, "text")
     windows = item_windows(benchmark, window)
     known = windows.limit(most_broadcast + 1).collect()
     if len(known) <= most_broadcast:
         scanned = lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), _scan(ws, known).alias("found"))
-        seen = docs.withColumn("_scan", let(normal_words(F.col("text")), scanned))
+        seen = rows.withColumn("_scan", let(normal_words(F.col("text")), scanned))
     else:
         lengths = [r["n"] for r in windows.select("n").distinct().collect()]
-        joined = _by_join(docs, windows, lengths)
+        joined = _by_join(rows, windows, lengths)
         seen = joined.withColumn("_scan", F.struct(F.size(normal_words(F.col("text"))).cast("long").alias("n_words"), F.col("_found").alias("found"))).drop("_found")
     items = F.array_sort(F.array_distinct(F.flatten(F.col("_scan.found.items"))))
     match = F.struct(F.col("_scan.n_words").alias("n_words"), _covered(F.col("_scan.found")).alias("n_hit"), items.alias("items"), F.col("_scan.found").alias("found"))
@@ -130,7 +130,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, most
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
-    return matches(docs, benchmark, **how).filter(F.col("_match.n_hit") == 0).drop("_match")
+    return matches(docs, benchmark, **how).filter(F.col("_match.n_hit") == 0).select("row.*")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -144,13 +144,14 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
     spans = F.col("_match.found")
     kept = F.filter(parts, lambda x, i: ~F.exists(spans, lambda s: (i + 1 >= s["p"]) & (i + 1 < s["p"] + s["n"])))
-    return seen.withColumn("text", F.when(F.col("_match.n_hit") == 0, F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))).drop("_match")
+    cut = seen.select("row", F.when(F.col("_match.n_hit") == 0, F.col("text")).otherwise(F.concat(lead, F.array_join(kept, ""))).alias("cut"))
+    return cut.select(*[F.col("cut").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seen = matches(docs.select("doc_id", "text"), benchmark)
     return seen.select(
-        "doc_id",
+        F.col("row.doc_id").alias("doc_id"),
         F.col("_match.n_words").alias("n_words"),
         F.col("_match.n_hit").alias("n_hit"),
         F.size("_match.items").cast("long").alias("n_items"),

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spare_name
+from tessera.llm.common import packed, spare_name
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -82,7 +82,7 @@ def fit(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS) -> tuple[list[str]
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``docs`` with a struct column ``_lang``: lang_pred and score, the posterior under equal priors.
+    """``docs`` with a struct column ``_lang`` (``_lang_`` if that is taken): lang_pred and score, the posterior under equal priors.
 
     Null texts, texts without a letter and an unfitted model give ``und`` with score 0; ties go
     to the first language in code-point order.
@@ -108,7 +108,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 found.append((langs[best], float(1 / np.exp((total - total[best]) / len(ORDERS)).sum())))
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return docs.withColumn(spare_name(docs, "_lang"), score(F.col("text")))
+    scored = packed(docs, "text").select("row", score(F.col("text")).alias("found"))
+    return scored.select("row.*", F.col("found").alias(spare_name(docs, "_lang")))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spare_name, text_key, written
+from tessera.llm.common import packed, spare_name, text_key, written
 
 #: A line is rare if at most this share of all documents has it, or at most LEAST_RARE documents.
 RARE_SHARE, LEAST_RARE = 0.05, 100
@@ -111,17 +111,17 @@ def removals(docs: DataFrame, *, rare_share: float = RARE_SHARE, least_rare: int
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with cleaned ``text`` and an array column ``_gone`` of the indices of the lines that were removed.
+    """``docs`` with cleaned ``text`` and an array column ``_gone`` (``_gone_`` if taken) of the indices of the lines that were removed.
 
     A text that loses every line becomes empty. Null texts stay null, wordless lines stay.
     """
-    key, gone = spare_name(docs, "_text_id"), spare_name(docs, "_gone")
-    found = removals(docs, **how).select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), F.col("gone").alias(gone))
-    marked = docs.withColumn(key, text_key(F.col("text")))
-    joined = marked.join(found, marked["doc_id"].eqNullSafe(found["_d"]) & (marked[key] == found["_t"]), "left")
-    kept = F.filter(lines(F.col("text")), lambda x, i: ~F.array_contains(F.col(gone), i))
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).withColumn(gone, F.coalesce(gone, F.array().cast("array<int>"))).drop("_d", "_t", key)
+    found = removals(docs, **how).select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), "gone")
+    marked = packed(docs, "doc_id", "text").withColumn("text_id", text_key(F.col("text")))
+    joined = marked.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_id") == F.col("_t")), "left")
+    kept = F.filter(lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("gone"), i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    cells = [text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return joined.select(*cells, F.coalesce("gone", F.array().cast("array<int>")).alias(spare_name(docs, "_gone")))
 
 
 def query(docs: DataFrame) -> DataFrame:

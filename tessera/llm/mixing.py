@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import ranked_within, spare_name, text_key, words
+from tessera.llm.common import packed, ranked_within, text_key, words
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -75,17 +75,14 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     Rows of the same document, text and source share out their copies evenly.
     """
-    rid, copies, total, rows = (spare_name(docs, x) for x in ("_text_id", "_copies", "_total", "_rows"))
-    plan = plan_copies(docs, **how).groupBy("doc_id", "text_id", "source").agg(F.sum("copies").alias(total), F.count("*").alias(rows))
-    plan = plan.filter(F.col(total) > 0).select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), F.col("source").alias("_s"), total, rows)
-    marked = docs.withColumn(rid, text_key(F.col("text")))
-    same = marked["doc_id"].eqNullSafe(plan["_d"]) & (marked[rid] == plan["_t"]) & marked["source"].eqNullSafe(plan["_s"])
-    found = marked.join(plan, same)
-    turn = F.when(F.col(rows) == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("_d", "_t", "_s").orderBy("_d")))
-    own = F.floor(F.col(total) / F.col(rows)) + F.when(turn <= F.col(total) % F.col(rows), 1).otherwise(0)
-    found = found.withColumn(copies, own.cast("int")).filter(F.col(copies) > 0)
-    again = spare_name(docs, "_again")
-    return found.withColumn(again, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = plan_copies(docs, **how).groupBy("doc_id", "text_id", "source").agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
+    plan = plan.filter("total > 0").select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), F.col("source").alias("_s"), "total", "rows")
+    marked = packed(docs, "doc_id", "source").withColumn("text_id", text_key(F.col("row.text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_id") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s"))
+    turn = F.row_number().over(Window.partitionBy("_d", "_t", "_s").orderBy("_d"))
+    own = F.floor(F.col("total") / F.col("rows")) + F.when(F.col("turn") <= F.col("total") % F.col("rows"), 1).otherwise(0)
+    found = marked.join(plan, same).withColumn("turn", turn).withColumn("copies", own.cast("int")).filter("copies > 0")
+    return found.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("again")).select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

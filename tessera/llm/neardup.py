@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import spare_name, text_key, words, written
+from tessera.llm.common import packed, text_key, words, written
 from tessera.llm.components import components
 
 #: Words of a shingle, and the least weighted Jaccard similarity, as a fraction, of shingle multisets.
@@ -294,12 +294,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one of its least doc_id (of equal rows, one; null texts stay)."""
-    key = spare_name(docs, "_text_id")
     kept = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")).distinct()
-    marked = docs.withColumn(key, text_key(F.col("text")))
-    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_d"]) & (marked[key] == kept["_t"]))
-    turn = spare_name(docs, "_turn")
-    return found.withColumn(turn, F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_d"))).filter(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = packed(docs, "doc_id").withColumn("text_id", text_key(F.col("row.text")))
+    found = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("text_id") == F.col("_t")))
+    turn = F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_d"))
+    return found.withColumn("turn", F.when(F.col("row.text").isNull(), 1).otherwise(turn)).filter("turn = 1").select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spare_name
+from tessera.llm.common import packed, spare_name
 
 # Fixed rules. Letters of the keyword are matched in either case, by ASCII rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -207,7 +207,7 @@ def joined(spans: Iterable[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """``docs`` with a struct column ``_secrets``: spans (kind, start, end) in order. Null texts are empty.
+    """``docs`` with a struct column ``_secrets`` (``_secrets_`` if taken): spans (kind, start, end) in order. Null texts are empty.
 
     The automata are inferred on the driver from the labelled strings, a few hundred, and are
     the same in every run; documents are read in a map without any shuffle.
@@ -220,7 +220,8 @@ def find(docs: DataFrame, ratio: float = RATIO) -> DataFrame:
         for batch in texts:
             yield pd.Series([[(KINDS[k], a, b) for a, k, b in scan(x or "", automata, ratio)] for x in batch])
 
-    return docs.withColumn(spare_name(docs, "_secrets"), spans(F.col("text")))
+    found = packed(docs, "text").select("row", spans(F.col("text")).alias("found"))
+    return found.select("row.*", F.col("found").alias(spare_name(docs, "_secrets")))
 
 
 def query(docs: DataFrame) -> DataFrame:

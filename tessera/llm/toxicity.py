@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spare_name, written
+from tessera.llm.common import packed, spare_name, written
 
 #: Labelled documents per class that the scorer is fitted on at most, by least hash of doc_id.
 TRAIN_DOCS = 6000
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labelled: DataFrame, model: np.ndarray, *, train_docs:
 
 
 def score(docs: DataFrame, model: np.ndarray, weights: dict[str, float]) -> DataFrame:
-    """``docs`` with ``_toxicity`` in 0 to 1: the chance that at least one of the cues found in the restored text is right.
+    """``docs`` with ``_toxicity`` (``_toxicity_`` if taken) in 0 to 1: the chance that at least one of the cues found in the restored text is right.
 
     Null, empty and letterless texts score 0.
     """
@@ -262,7 +262,8 @@ def score(docs: DataFrame, model: np.ndarray, weights: dict[str, float]) -> Data
                 found.append(1 - float(np.prod([clean[i] for i in sorted(hit)])) if hit else 0.0)
             yield pd.Series(found, dtype="float64")
 
-    return docs.withColumn(spare_name(docs, "_toxicity"), scored(F.col("text")))
+    found = packed(docs, "text").select("row", scored(F.col("text")).alias("found"))
+    return found.select("row.*", F.col("found").alias(spare_name(docs, "_toxicity")))
 
 
 def held_out() -> Column:
