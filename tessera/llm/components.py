@@ -27,3 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
         if jumped.filter(F.col("old") != F.col("label")).isEmpty():
             return labels
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after more edges (a, b): only the graph of the labels that they join is walked."""
+    end = lambda c: labels.select(F.col("node").alias(f"_{c}"), F.col("label").alias(f"_l{c}"))
+    named = edges.join(end("a"), F.col("a") == F.col("_a"), "left").join(end("b"), F.col("b") == F.col("_b"), "left")
+    between = named.select(F.coalesce("_la", "a").alias("a"), F.coalesce("_lb", "b").alias("b")).filter("a != b").distinct()
+    roots = components(between)
+    moved = labels.join(roots.select(F.col("node").alias("_n"), F.col("label").alias("_r")), F.col("label") == F.col("_n"), "left")
+    moved = moved.select("node", F.coalesce("_r", "label").alias("label"))
+    return written(moved.union(roots.join(labels, "node", "left_anti").select("node", "label")), "labels")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import packed, text_key, words, written
-from tessera.llm.components import components
+from tessera.llm.components import components, merged
 
 #: Words of a shingle, and the least weighted Jaccard similarity, as a fraction, of shingle multisets.
 SHINGLE, SIMILAR = 5, (4, 5)
@@ -260,8 +260,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     pairs = members.select("node", F.explode(F.array("l0", "l1", "l2")).alias("leader")).filter("node != leader")
     pairs = written(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
-    edges = written(verify(pairs, texts), "similar")
-    labels = components(edges)
+    labels = components(verify(pairs, texts))
 
     named = members.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     left = written(_mixed(named), "open")
@@ -274,13 +273,12 @@ def classes(docs: DataFrame) -> DataFrame:
     central = left.alias("x").join(best, "key").filter((F.col("x.label") != F.col("y.label")) & _possible("x.common", "y.common", "x.size", "y.size"))
     central = central.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     central = written(central.join(pairs, ["a", "b"], "left_anti"), "central")
-    edges = written(edges.union(verify(central, texts)), "similar")
-    labels = components(edges)
+    labels = merged(labels, verify(central, texts))
 
     left = _mixed(left.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     across = _sharing_prefixes(written(left, "left"), shingled).select("a", "b")
     across = written(across.join(pairs.union(central), ["a", "b"], "left_anti"), "across")
-    labels = components(written(edges.union(verify(across, texts)), "similar"))
+    labels = merged(labels, verify(across, texts))
 
     known = nodes.select("node", "text_id", "first_doc").join(labels, "node", "left")
     joined = known.filter(F.col("label").isNotNull())
