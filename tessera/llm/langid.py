@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +45,17 @@ def buckets(text: str) -> Iterator[np.ndarray]:
                 yield (rolled[: max(0, min(PIECE, len(rolled)))] * _MIX >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, bucket, n) of a task."""
     total: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             row = total.setdefault(lang, np.zeros(1 << BITS, dtype=np.int64))
-            for b in buckets(text):
+            for b in buckets(text.as_py()):
                 row += np.bincount(b, minlength=1 << BITS)
     for lang, row in total.items():
         (at,) = row.nonzero()
-        yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": row[at]})
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], names=["lang", "bucket", "n"])
 
 
 def fit(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
@@ -72,7 +73,7 @@ def fit(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS) -> tuple[list[str]
     share = F.create_map(*[x for r in per_lang for x in (F.lit(r["lang"]), F.lit(train_docs / r["count"]))])
     drawn = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.filter(drawn < F.element_at(share, F.col("lang"))).select("lang", "text")
-    rows = sample.mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(rows["lang"]))
     if not langs:
         return [], np.zeros((1 << BITS, 0), dtype=np.float32)

@@ -127,7 +127,8 @@ def cutoffs(labelled: DataFrame, *, risk: float = RISK, delta: float = DELTA) ->
     )
     tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("turn"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, cs in RULES.items() for i, c in enumerate(cs)])
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tested = counts.select("stratum", "n", F.count("*").over(everything).alias("strata"), F.explode(tests).alias("t")).select("stratum", "n", "strata", "t.*")
+    tested = counts.withColumn("strata", F.count("*").over(everything)).withColumn("tests", tests)
+    tested = tested.select("stratum", "n", "strata", F.explode("tests").alias("t")).select("stratum", "n", "strata", "t.*")
     level = F.lit(delta / len(RULES)) / F.col("strata")
     tested = tested.withColumn("fails", (binomial_cdf(F.col("k"), F.col("n"), each) > level).cast("int"))
     so_far = Window.partitionBy("stratum", "rule").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)

@@ -11,6 +11,7 @@ from zlib import crc32
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ LENGTHS = (0, 3, 4, 5, 6)
 PRECISION = 0.95
 #: Cues that may explain one document.
 COVERS = 3
-#: Costs of the channel, in nats: reading a sign as a letter, dropping a sign, dropping a gap, one letter of a run.
-READ, DROP, JOIN, RUN = 0.5, 9.0, 0.3, 0.5
+#: Costs of the channel, in nats: reading a sign as a letter, as a gap, dropping a sign, dropping a gap, one letter of a run.
+READ, GAP, DROP, JOIN, RUN = 0.5, 4.0, 9.0, 0.3, 0.5
 
 # Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -54,21 +55,20 @@ def codes(text: str) -> np.ndarray:
     return found[~((found == 0) & (np.roll(found, 1) == 0))]
 
 
-def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SIZE**3, dtype=np.int64)
     for batch in batches:
-        for text in batch["text"]:
-            if text:
-                c = codes(text.lower())
-                if len(c) > 2:
-                    total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
+        for text in batch.column("text"):
+            c = codes((text.as_py() or "").lower())
+            if len(c) > 2:
+                total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
     (at,) = total.nonzero()
-    yield pd.DataFrame({"gram": at.astype(np.int32), "n": total[at]})
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """Costs [a, b, c] of a letter after two others, counted over every text; a table of fixed size."""
-    rows = docs.select("text").mapInPandas(_trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(_trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SIZE**3)
     counts[rows["gram"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
     tri = counts.reshape(SIZE, SIZE, SIZE)
@@ -93,7 +93,7 @@ def _lattice(span: str) -> list[list[tuple[str, float]]]:
         while run < len(span) and span[run] == c:
             run += 1
         if c in LEET:
-            reads = [(x, READ) for x in LEET[c]] + [("", DROP), (" ", READ)]
+            reads = [(x, READ) for x in LEET[c]] + [("", DROP), (" ", GAP)]
             places += [reads] * min(run - at, 2) if run - at < 3 else [reads + [("", READ)]]
         elif c.isalpha():
             places += [[(c, 0.0)]] * (run - at) if run - at < 3 else [[(c, RUN), (c + c, 2 * RUN)]]
@@ -192,33 +192,34 @@ def fit(docs: DataFrame, labelled: DataFrame, model: np.ndarray, *, train_docs:
     scale = max(1.0, n.get(0, 0) / train_docs) / max(1.0, n[1] / train_docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore, bad, good = Restorer(sent.value), Counter(), Counter()
         for batch in batches:
-            for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 (bad if toxic else good).update(cues(restore(text)))
-        yield pd.DataFrame({"cue": list(bad), "bad": list(bad.values()), "good": [good[c] for c in bad]}).astype({"bad": "int64", "good": "int64"})
-        rest = [c for c in good if c not in bad]
-        yield pd.DataFrame({"cue": rest, "bad": 0, "good": [good[c] for c in rest]}).astype({"cue": "object", "bad": "int64", "good": "int64"})
+        names = list(bad | good)
+        columns = [pa.array(names, pa.string()), *[pa.array([side[c] for c in names], pa.int64()) for side in (bad, good)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["cue", "bad", "good"])
 
-    counts = sample.mapInPandas(count, "cue string, bad long, good long").groupBy("cue").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = sample.mapInArrow(count, "cue string, bad long, good long").groupBy("cue").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = written(counts, "cues")
     seen, rate = counts.count(), n[1] / (n[1] + n.get(0, 0))
     sharp = counts.filter((F.col("bad") >= LEAST) & (F.col("bad") >= PRECISION * (F.col("bad") + F.col("good") * scale)))
     table = {r["cue"]: (r["bad"], r["good"]) for r in sharp.orderBy(F.desc("bad"), "cue").limit(MOST_CUES).collect()}
     names = sorted(table)
 
-    def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore, matcher = Restorer(sent.value), _matcher(names)
         for batch in batches:
-            restored = [restore(t) for t in batch["text"]]
+            restored = [restore(t) for t in batch.column("text").to_pylist()]
             least = [min((crc32(w.encode()) for w in t.split()), default=0) for t in restored]
-            yield pd.DataFrame({"cues": [sorted({i for _, i in matcher.iter(t)}) for t in restored], "kind": least})
+            has = [sorted({i for _, i in matcher.iter(t)}) for t in restored]
+            yield pa.RecordBatch.from_arrays([pa.array(has, pa.list_(pa.int32())), pa.array(least, pa.int64())], names=["cues", "kind"])
 
     if not names:
         return {}
     found: dict[str, float] = {}
-    left = [[r["kind"], set(r["cues"]), COVERS] for r in sample.filter(F.col("toxic") == 1).mapInPandas(present, "cues array<int>, kind long").collect()]
+    left = [[r["kind"], set(r["cues"]), COVERS] for r in sample.filter(F.col("toxic") == 1).mapInArrow(present, "cues array<int>, kind long").collect()]
 
     def by_kind() -> dict[int, set]:
         kinds = defaultdict(set)

@@ -8,7 +8,8 @@ import uuid
 from base64 import b32encode
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,6 +107,8 @@ def ranges(index: DataFrame, gap: int = GAP, longest: int = LONGEST) -> DataFram
 
 _HEADERS = re.compile(rb"(?:^|\r\n)([A-Za-z-]+): ?([^\r\n]*)")
 _READ = "file string, offset long, record_type string, page_id long, url string, refers_to long, stated_digest string, payload binary"
+_NAMES = [x.split(" ")[0] for x in _READ.split(", ")]
+_TYPES = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split(" ")[1]] for x in _READ.split(", ")]
 
 
 def parse(record: bytes) -> tuple:
@@ -120,18 +123,16 @@ def read(spark: SparkSession, path: str, index: DataFrame, gap: int = GAP, longe
     """The records that ``index``, or any selection of it, names, read by byte ranges of the archives."""
     wanted = index.select("archive", "offset", "length").join(_files(spark, path), "archive")
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow.fs import FileSystem
-
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, start, stop, parts in batch[["file", "start", "stop", "parts"]].itertuples(index=False):
-                store, name = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+            for x in batch.to_pylist():
+                store, name = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", x["file"]))
                 with store.open_input_file(name) as source:
-                    block = source.read_at(int(stop - start), int(start))
-                found = [(file, p["offset"], *parse(block[p["offset"] - start : p["offset"] - start + p["length"]])) for p in parts]
-                yield pd.DataFrame(found, columns=["file", "offset", "record_type", "page_id", "url", "refers_to", "stated_digest", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    block = source.read_at(x["stop"] - x["start"], x["start"])
+                found = [(x["file"], p["offset"], *parse(block[p["offset"] - x["start"] : p["offset"] - x["start"] + p["length"]])) for p in x["parts"]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found, strict=True), _TYPES, strict=True)], names=_NAMES)
 
-    return ranges(wanted, gap, longest).mapInPandas(fetch, _READ)
+    return ranges(wanted, gap, longest).mapInArrow(fetch, _READ)
 
 
 def digest(payload: bytes) -> str:
