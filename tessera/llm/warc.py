@@ -1,7 +1,8 @@
-"""WARC archives with an index: records are written by Spark's text sink, read back by coalesced byte ranges."""
+"""WARC archives with an index: records are written as gzip members with their offsets, read back by coalesced byte ranges."""
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -10,17 +11,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import shared_dir
 
-#: Mean bytes of an archive, and the gap up to which two selected records are read in one go; no read is longer than LONGEST unless a record is.
+#: Bytes after which an archive is full, and the gap up to which two selected records are read in one go; no read is longer than LONGEST unless a record is.
 ARCHIVE_BYTES, GAP, LONGEST = 32 << 20, 1 << 16, 8 << 20
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
-_END = "\r\n\r\n"
+_END = b"\r\n\r\n"
+_INDEXED = ["page_id", "url", "payload_digest", "refers_to"]
+_INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, refers_to long"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -30,7 +33,7 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def records(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """page_id, url, payload_digest, refers_to and the whole WARC record of each row of ``pages``.
 
     Null html is an empty payload. Of equal payloads of ``least_bytes`` or more, the rows of
@@ -39,8 +42,12 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     control characters in a url become percent escapes.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html.cast("binary")).alias("payload_digest"))
-    first = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("_d")).agg(F.min("page_id").alias("_first"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html.cast("binary")).alias("payload_digest"))
+    narrow = rows.filter(F.col("payload_bytes") >= least_bytes).select("payload_digest", "page_id")
+    first = narrow.groupBy(F.col("payload_digest").alias("_d")).agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    # Written, so that its size is known: where few payloads repeat, no html is shuffled.
+    first.write.parquet(f"{path}/repeated")
+    first = pages.sparkSession.read.schema(first.schema).parquet(f"{path}/repeated")
     rows = rows.join(first, F.col("payload_digest") == F.col("_d"), "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     rows = rows.withColumn("record_type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))).withColumn("refers_to", F.when(revisit, F.col("_first")))
@@ -68,32 +75,41 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 def write(pages: DataFrame, path: str, *, archive_bytes: int = ARCHIVE_BYTES, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Write the archives under ``path``/archives and return their index, one row per record.
 
-    Records get their archive and offset first, and the archives are then written in just that
-    order, one file per archive, by Spark's text sink with a record's end as line separator;
-    the sink's commit makes them safe from lost or repeated tasks. A page's archive is a hash
-    of its content, so equal payloads spread as well.
+    Each task writes its records one after another, each a gzip member of its own as the format
+    advises, to archives of about ``archive_bytes``, and yields where each one lies. Archives of
+    an attempt have names of their own, and the index, which Spark commits, names only those of
+    the attempts that succeeded; a lost or repeated task leaves an archive that nothing names.
     """
     spark = pages.sparkSession
-    made = records(pages, least_bytes).withColumn("length", F.octet_length("record").cast("long") + len(_END))
-    made.write.parquet(f"{path}/records")
-    made = spark.read.schema(made.schema).parquet(f"{path}/records")
-    total = made.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()["b"]
-    archives = max(1, -(-total // archive_bytes))
-    salt = F.xxhash64("page_id", "url", "payload_digest", "length")
-    dealt = made.withColumn("archive", F.pmod(salt, F.lit(archives)).cast("int"))
-    within = Window.partitionBy("archive").orderBy("page_id", "url", "payload_digest", "length")
-    before = F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    indexed = dealt.select("archive", "page_id", "url", "payload_digest", "refers_to", "length", F.coalesce(before, F.lit(0)).alias("offset"))
-    indexed.write.parquet(f"{path}/index")
-    ordered = dealt.repartition(archives, "archive").sortWithinPartitions("archive", "page_id", "url", "payload_digest", "length")
-    ordered.select("archive", "record").write.partitionBy("archive").option("lineSep", _END).text(f"{path}/archives")
-    return spark.read.schema(indexed.schema).parquet(f"{path}/index")
-
-
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, file): the one file of each archive, listed by Spark's reader."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{path}/archives").select("path")
-    return listed.select(F.regexp_extract("path", r"/archive=(\d+)/", 1).cast("int").alias("archive"), F.col("path").alias("file"))
+    folder = f"{path}/archives" if "://" in path or path.startswith("file:") else f"file://{path}/archives"
+    folder = re.sub(r"^file:/+", "file:///", folder)
+
+    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        out, name, at = None, "", 0
+        for batch in batches:
+            offsets, lengths, files = [], [], []
+            for record in batch.column("record"):
+                if out is None or at >= archive_bytes:
+                    if out is not None:
+                        out.close()
+                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
+                member = gzip.compress(record.as_py().encode() + _END, 5, mtime=0)
+                out.write(member)
+                files.append(f"{folder}/{name}")
+                offsets.append(at)
+                lengths.append(len(member))
+                at += len(member)
+            placed = [pa.array(files, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*placed, *[batch.column(c) for c in _INDEXED]], names=["file", "offset", "length", *_INDEXED])
+        if out is not None:
+            out.close()
+
+    index = records(pages, path, least_bytes).mapInArrow(archive, _INDEX)
+    index.write.parquet(f"{path}/index")
+    return spark.read.schema(index.schema).parquet(f"{path}/index")
 
 
 def ranges(index: DataFrame, gap: int = GAP, longest: int = LONGEST) -> DataFrame:
@@ -111,7 +127,8 @@ _NAMES = [x.split(" ")[0] for x in _READ.split(", ")]
 _TYPES = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split(" ")[1]] for x in _READ.split(", ")]
 
 
-def parse(record: bytes) -> tuple:
+def parse(member: bytes) -> tuple:
+    record = gzip.decompress(member)
     head, body = record.split(b"\r\n\r\n", 1)
     fields = {k.decode().lower(): v.decode() for k, v in _HEADERS.findall(head)}
     body = body[: int(fields["content-length"])]
@@ -119,10 +136,8 @@ def parse(record: bytes) -> tuple:
     return fields["warc-type"], number(fields.get("warc-record-id")), fields.get("warc-target-uri"), number(fields.get("warc-refers-to")), fields["warc-payload-digest"].removeprefix("sha1:"), body
 
 
-def read(spark: SparkSession, path: str, index: DataFrame, gap: int = GAP, longest: int = LONGEST) -> DataFrame:
+def read(index: DataFrame, gap: int = GAP, longest: int = LONGEST) -> DataFrame:
     """The records that ``index``, or any selection of it, names, read by byte ranges of the archives."""
-    wanted = index.select("archive", "offset", "length").join(_files(spark, path), "archive")
-
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
@@ -132,7 +147,7 @@ def read(spark: SparkSession, path: str, index: DataFrame, gap: int = GAP, longe
                 found = [(x["file"], p["offset"], *parse(block[p["offset"] - x["start"] : p["offset"] - x["start"] + p["length"]])) for p in x["parts"]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found, strict=True), _TYPES, strict=True)], names=_NAMES)
 
-    return ranges(wanted, gap, longest).mapInArrow(fetch, _READ)
+    return ranges(index.select("file", "offset", "length"), gap, longest).mapInArrow(fetch, _READ)
 
 
 def digest(payload: bytes) -> str:
@@ -160,7 +175,7 @@ def resolve(found: DataFrame) -> DataFrame:
 def query(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/tessera-warc-{uuid.uuid4().hex}"
-    return resolve(read(spark, path, write(pages, path)))
+    return resolve(read(write(pages, path)))
 
 
 ORACLE = r"""
