@@ -111,7 +111,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "json_build": ("SELECT n_nationkey, json_object('k', n_nationkey, 'n', n_name) AS o, json_array(n_nationkey, n_name) AS a FROM nation", "SELECT n_nationkey, json_object('k', n_nationkey, 'n', n_name)::VARCHAR AS o, json_array(n_nationkey, n_name)::VARCHAR AS a FROM nation"),
     "random_now": ("SELECT n_nationkey, random() IS NOT NULL AS r, length(datetime('now')) AS d, length(date('now')) AS e, length(time('now')) AS t FROM nation", ""),
     # Vectors
-    "knn_l2": ("SELECT v.vec_id, l2_distance(v.embedding, q.embedding) AS d FROM embeddings AS v CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) AS q ORDER BY l2_distance(v.embedding, q.embedding), v.vec_id LIMIT 5", "SELECT v.vec_id, list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings AS v CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) AS q ORDER BY d, v.vec_id LIMIT 5"),
+    "knn_l2": ("SELECT v.vec_id, round(l2_distance(v.embedding, q.embedding), 9) AS d FROM embeddings AS v CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) AS q ORDER BY l2_distance(v.embedding, q.embedding), v.vec_id LIMIT 5", "SELECT v.vec_id, round(list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS d FROM embeddings AS v CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) AS q ORDER BY list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id LIMIT 5"),
     "knn_cosine": ("SELECT v.vec_id, round(cosine_similarity(v.embedding, q.embedding), 6) AS s FROM embeddings AS v CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) AS q ORDER BY cosine_similarity(v.embedding, q.embedding) DESC, v.vec_id LIMIT 5", "SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS s FROM embeddings AS v CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) AS q ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id LIMIT 5"),
     # The flagship
     "flagship": ("SELECT n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem AS l JOIN orders AS o ON l.l_orderkey = o.o_orderkey JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey WHERE o.o_orderstatus <> 'P' GROUP BY n.n_name ORDER BY revenue DESC, n.n_name LIMIT 10", None),
