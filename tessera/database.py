@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import copy
-import re
 import time
 from collections.abc import Callable, Sequence
 
@@ -16,7 +15,7 @@ from tessera.operators import dml
 from tessera.operators.dml import ConstraintError
 from tessera.plans import explain
 from tessera.plans.dialect import rewrite, rewrite_tokens
-from tessera.plans.tokens import Token, closing, joined, literal, name, split_commas, split_statements
+from tessera.plans.tokens import Token, closing, joined, literal, name, source, split_commas, split_statements, tokenize
 from tessera.sources.csv import header, read_csv
 from tessera.sources.store import EXPIRES, Store
 from tessera.types import COLLATIONS, length_limit, spark_type
@@ -229,11 +228,11 @@ class Database:
                 i += 1
             elif word == "DEFAULT":
                 end = closing(tokens, i + 1) + 1 if tokens[i + 1].text == "(" else i + (3 if tokens[i + 1].text in "+-" else 2)
-                column["default"] = joined(tokens[i + 1 : end])
+                column["default"] = source(tokens[i + 1 : end])
                 i = end
             elif word == "CHECK":
                 end = closing(tokens, i + 1)
-                table["checks"].append(joined(tokens[i + 2 : end]))
+                table["checks"].append(source(tokens[i + 2 : end]))
                 i = end + 1
             elif word == "COLLATE":
                 column["type"] = f"STRING COLLATE {COLLATIONS.get(tokens[i + 1].upper, tokens[i + 1].text)}"
@@ -280,7 +279,7 @@ class Database:
             elif word == "FOREIGN":
                 self._reference(part, _find(part, "REFERENCES"), listed, table)
             elif word == "CHECK":
-                table["checks"].append(joined(part[2 : closing(part, 1)]))
+                table["checks"].append(source(part[2 : closing(part, 1)]))
             else:
                 self._column(part, table)
         first = table["columns"][0]
@@ -316,7 +315,7 @@ class Database:
 
     def _create_view(self, tokens: list[Token]) -> None:
         at = _find(tokens, "AS")
-        self._change(lambda m: m["views"].update({name(tokens[at - 1]).lower(): joined(tokens[at + 1 :]).replace("\\'", "''")}))
+        self._change(lambda m: m["views"].update({name(tokens[at - 1]).lower(): source(tokens[at + 1 :])}))
 
     def _create_index(self, tokens: list[Token]) -> None:
         """Recorded for PRAGMA index_list. Reads prune by Parquet statistics instead; UNIQUE is enforced."""
@@ -341,7 +340,7 @@ class Database:
         timing = next((t.upper for t in head if t.upper in ("BEFORE", "AFTER")), "AFTER")
         event = next(t.upper for t in head if t.upper in ("INSERT", "UPDATE", "DELETE"))
         table = name(head[_find(head, "ON") + 1]).lower()
-        body: list[str] = [joined(x).replace("\\'", "''") for x in split_statements(" ".join(t.text for t in tokens[begin + 1 : -1]))]
+        body: list[str] = [source(x) for x in split_statements(source(tokens[begin + 1 : -1]))]
         self._change(lambda m: m["triggers"].update({name(head[2 + 3 * (_find(head, "IF", "NOT", "EXISTS") == 2)]).lower(): {"table": table, "timing": timing, "event": event, "body": body}}))
 
     def _drop(self, tokens: list[Token]) -> None:
@@ -473,7 +472,7 @@ class Database:
         return f"CAST({text} AS {kind.split(' COLLATE')[0]})"
 
     def _sets(self, tokens: list[Token]) -> dict[str, str]:
-        return {name(p[0]): joined(p[2:]).replace("\\'", "''") for p in split_commas(tokens)}
+        return {name(p[0]): source(p[2:]) for p in split_commas(tokens)}
 
     def insert(self, table: str, df: DataFrame, *, on: str | None = None, sets: dict[str, str] | None = None, ttl: float | None = None) -> DataFrame:
         """Add rows, a DataFrame with some or all of the table's columns, and return the rows as stored."""
@@ -530,8 +529,9 @@ class Database:
         wanted = new.select(*keys)
         hit = self.store.touched(self.store.placed(meta).join(wanted, keys, "left_semi"))
         part = self._live(meta, hit)
-        exprs = None if sets is None else {k: F.expr(re.sub(rf"(?<![\w.])({'|'.join(c['name'] for c in meta['columns'])})(?![\w(])", r"old.\1", rewrite(v)) if "'" not in v else rewrite(v)) for k, v in sets.items()}
-        merged = dml.upsert(part, new, keys, None if exprs is None else {k: v.cast({c["name"]: c["type"] for c in meta["columns"]}[k]) for k, v in exprs.items()})
+        types = {c["name"].lower(): c["type"] for c in meta["columns"]}
+        exprs = None if sets is None else {k: F.expr(self._of_old(v, types)).cast(types[k.lower()]) for k, v in sets.items()}
+        merged = dml.upsert(part, new, keys, exprs)
         files = self.store.write(table, merged)
         rest = [f for f in meta["files"] if f not in set(hit)]
         stored = self.store.read(meta, files)
@@ -544,6 +544,13 @@ class Database:
         self._after(table, "UPDATE" if sets is not None else "INSERT", old=before, new=after)
         return after
 
+    @staticmethod
+    def _of_old(expression: str, columns: dict) -> str:
+        """An expression in which bare column names mean the existing row."""
+        tokens = tokenize(expression)
+        bare = lambda i, t: t.kind in ("word", "quoted") and name(t).lower() in columns and (not i or tokens[i - 1].text != ".") and (i + 1 == len(tokens) or tokens[i + 1].text not in "(.")
+        return rewrite_tokens([Token("raw", f"old.`{name(t)}`") if bare(i, t) else t for i, t in enumerate(tokens)])
+
     def _parents(self, meta: dict, table: str, rows: DataFrame, only: set[str] | None = None) -> None:
         for r in meta["references"]:
             if only is None or r["column"] in only:

@@ -36,6 +36,9 @@ def test_upserts_and_returning(db):
     assert rows(db, "INSERT OR REPLACE INTO t_up VALUES (1, 'replaced') RETURNING val") == [("replaced",)]
     db.sql("INSERT INTO t_up VALUES (1, 'x'), (2, 'new') ON CONFLICT (id) DO UPDATE SET val = 'updated'")
     assert rows(db, "SELECT * FROM t_up ORDER BY id") == [(1, "updated"), (2, "new")]
+    db.sql("INSERT INTO t_up VALUES (2, 'y') ON CONFLICT (id) DO UPDATE SET val = val || '-it''s-' || excluded.val")
+    assert rows(db, "SELECT val FROM t_up WHERE id = 2") == [("new-it's-y",)]
+    db.sql("UPDATE t_up SET val = 'new' WHERE id = 2")
     assert rows(db, "UPDATE t_up SET val = upper(val) WHERE id = 2 RETURNING *") == [(2, "NEW")]
     assert rows(db, "DELETE FROM t_up WHERE id = 1 RETURNING val") == [("updated",)]
     assert db.changes == 1
@@ -95,6 +98,8 @@ def test_schema_changes(db):
     db.sql("CREATE TABLE old (id INT, v TEXT, w INT); INSERT INTO old VALUES (1, 'a', 5)")
     db.sql("ALTER TABLE old RENAME TO new; ALTER TABLE new ADD COLUMN age INT DEFAULT 7; ALTER TABLE new DROP COLUMN w")
     assert rows(db, "SELECT * FROM new") == [(1, "a", 7)]
+    db.sql("CREATE VIEW quoted AS SELECT 'it''s' AS q FROM new")
+    assert rows(db, "SELECT q FROM quoted") == [("it's",)]
     db.sql("CREATE INDEX i ON new (lower(v)) WHERE id = 1; CREATE VIEW few AS SELECT * FROM new WHERE v = 'a' OR id = 9")
     assert rows(db, "SELECT id FROM few WHERE age < 3") == []
     assert [r[1] for r in rows(db, "PRAGMA table_info(new)")] == ["id", "v", "age"]
