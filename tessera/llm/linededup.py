@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, spare_name, text_key, written
+from tessera.llm.common import packed, spare_name, text_key, words, written
 
-#: A line is rare if at most this share of all documents has it, or at most LEAST_RARE documents.
-RARE_SHARE, LEAST_RARE = 0.05, 100
+#: A line of fewer words is no evidence of overlap, and a block of fewer stays where it is.
+LEAST_WORDS = 5
+#: A line is rare if at most this share of all documents has it. Pairs are linear in copies of
+#: lines, so by default even the line that most documents have counts, and no case is left out.
+RARE_SHARE = 1.0
 
 
 def lines(text: Column) -> Column:
@@ -77,32 +80,48 @@ def align(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def removals(docs: DataFrame, *, rare_share: float = RARE_SHARE, least_rare: int = LEAST_RARE) -> DataFrame:
-    """(doc, text_id, gone): for each document that loses lines, the sorted indices of those lines.
+def blocks(pairs: list[tuple[int, int]], a: Sequence, b: Sequence, sizes: Sequence, least: int = LEAST_WORDS) -> list[int]:
+    """Lines of the second text that lie in aligned blocks of ``least`` words or more; wordless lines don't break a block."""
+    found, block, words = [], [], 0
+    for k, (i, j) in enumerate(pairs):
+        if k:
+            x, y = pairs[k - 1]
+            if any(v is not None for v in a[x + 1 : i]) or any(v is not None for v in b[y + 1 : j]):
+                found += block if words >= least else []
+                block, words = [], 0
+        block.append(j)
+        words += sizes[j]
+    return found + (block if words >= least else [])
+
+
+def removals(docs: DataFrame, *, rare_share: float = RARE_SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, text_id, gone): for each document that loses lines, the sorted indices of those lines.
 
     Documents are ordered by doc_id (null first), then text. For every rare line that several
     documents have, each of them is paired with the first that has it: as many pairs as there
     are copies of lines, whatever the size of a group. Each pair is aligned once, and the later
-    document loses the lines that are aligned. A line's first document never loses it, so no
-    line leaves the corpus. Rows that share doc_id and text are one document.
+    document loses the aligned blocks of ``least_words`` words or more. No line of that length
+    leaves the corpus: its first document never loses it to an earlier one. Rows that share doc_id and text are one document.
     """
-    keyed = docs.select(F.struct(F.col("doc_id").alias("doc_id"), text_key(F.col("text")).alias("text_id")).alias("doc"), line_hashes(F.col("text")).alias("lines"))
-    known = written(keyed.select("doc.doc_id", "doc.text_id", "lines").dropDuplicates(["doc_id", "text_id"]), "lines")
+    sizes = F.transform(lines(F.col("text")), lambda x: F.size(words(x)))
+    keyed = docs.select(F.struct(F.col("doc_id").alias("doc_id"), text_key(F.col("text")).alias("text_id")).alias("doc"), line_hashes(F.col("text")).alias("lines"), sizes.alias("sizes"))
+    known = written(keyed.select("doc.doc_id", "doc.text_id", "lines", "sizes").dropDuplicates(["doc_id", "text_id"]), "lines")
     total = known.count()
-    each = known.select("doc_id", "text_id", F.explode(F.array_distinct(F.array_compact("lines"))).alias("line"))
+    long_ = F.zip_with("lines", "sizes", lambda x, n: F.when(n >= least_words, x))
+    each = known.select("doc_id", "text_id", F.explode(F.array_distinct(F.array_compact(long_))).alias("line"))
     each = each.select("line", F.struct("doc_id", "text_id").alias("doc"))
     shared = each.groupBy("line").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
-    shared = shared.filter((F.col("n") > 1) & ((F.col("n") <= least_rare) | (F.col("n") <= F.lit(rare_share * total))))
+    shared = shared.filter((F.col("n") > 1) & (F.col("n") <= F.lit(rare_share * total)))
     pairs = each.join(shared.select("line", "first"), "line").filter(F.col("doc") != F.col("first")).select("doc", "first").distinct()
-    own = known.select(F.struct("doc_id", "text_id").alias("doc"), "lines")
+    own = known.select(F.struct("doc_id", "text_id").alias("doc"), "lines", "sizes")
     later = pairs.join(own, "doc")
     both = later.join(own.select(F.col("doc").alias("first"), F.col("lines").alias("first_lines")), "first")
-    both = both.select("doc.doc_id", "doc.text_id", "first_lines", "lines")
+    both = both.select("doc.doc_id", "doc.text_id", "first_lines", "lines", "sizes")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = zip(batch.column("first_lines").to_pylist(), batch.column("lines").to_pylist(), strict=True)
-            gone = pa.array([[j for _, j in align(a, b)] for a, b in sides], pa.list_(pa.int32()))
+            sides = zip(*[batch.column(c).to_pylist() for c in ("first_lines", "lines", "sizes")], strict=True)
+            gone = pa.array([blocks(align(a, b), a, b, n, least_words) for a, b, n in sides], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), gone], names=["doc_id", "text_id", "gone"])
 
     typed = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_id binary, gone array<int>"

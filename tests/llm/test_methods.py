@@ -233,6 +233,8 @@ def test_alignment():
     assert linededup.align(list("aab"), list("aab")) == [(0, 0), (1, 1), (2, 2)]
     assert linededup.align([None, "a"], [None, "a"]) == [(1, 1)]
     assert linededup.align([], ["a"]) == []
+    a, b = ["x", "y", None, "z", "q"], ["x", "y", None, "z", "new", "q"]
+    assert linededup.blocks(linededup.align(a, b), a, b, [2, 2, 0, 1, 3, 4]) == [0, 1, 3]
 
 
 def test_line_dedup_against_brute_force(spark):
@@ -246,10 +248,11 @@ def test_line_dedup_against_brute_force(spark):
         for x in lines[i]:
             first.setdefault(x, i)
     for i in texts:
-        partners = {first[x] for x in set(lines[i]) if x and df[x] > 1 and (df[x] <= 100 or df[x] <= 0.05 * len(lines))} - {i}
-        gone = sorted({j for p in partners for _, j in linededup.align(lines[p], lines[i])})
+        partners = {first[x] for x in set(lines[i]) if x and df[x] > 1 and len(x.split()) >= 5} - {i}
+        sizes = [len(x.split()) for x in texts[i].split("\n")]
+        gone = sorted({j for p in partners for j in linededup.blocks(linededup.align(lines[p], lines[i]), lines[p], lines[i], sizes)})
         assert got[i] == (gone, "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in set(gone)))
-    assert {x for _, t in got.values() for x in t.split("\n")} >= set(df)
+    assert {x for _, t in got.values() for x in t.split("\n")} >= {x for x in df if len(x.split()) >= 5}
 
 
 # Toxicity
