@@ -136,8 +136,9 @@ def parse(member: bytes) -> tuple:
     return fields["warc-type"], number(fields.get("warc-record-id")), fields.get("warc-target-uri"), number(fields.get("warc-refers-to")), fields["warc-payload-digest"].removeprefix("sha1:"), body
 
 
-def read(index: DataFrame, gap: int = GAP, longest: int = LONGEST) -> DataFrame:
+def read(index: DataFrame, gap: int = GAP, longest: int = LONGEST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """The records that ``index``, or any selection of it, names, read by byte ranges of the archives."""
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
@@ -147,7 +148,12 @@ def read(index: DataFrame, gap: int = GAP, longest: int = LONGEST) -> DataFrame:
                 found = [(x["file"], p["offset"], *parse(block[p["offset"] - x["start"] : p["offset"] - x["start"] + p["length"]])) for p in x["parts"]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found, strict=True), _TYPES, strict=True)], names=_NAMES)
 
-    return ranges(index.select("file", "offset", "length"), gap, longest).mapInArrow(fetch, _READ)
+    # The index is small beside what it stands for, so ranges are dealt by the bytes to read.
+    spark = index.sparkSession
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()["b"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // archive_bytes))
+    dealt = ranges(index.select("file", "offset", "length"), gap, longest).repartition(parts, "file", "start")
+    return dealt.mapInArrow(fetch, _READ)
 
 
 def digest(payload: bytes) -> str:
