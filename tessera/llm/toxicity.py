@@ -98,7 +98,7 @@ def _lattice(span: str) -> list[list[tuple[str, float]]]:
         elif c.isalpha():
             places += [[(c, 0.0)]] * (run - at) if run - at < 3 else [[(c, RUN), (c + c, 2 * RUN)]]
         elif apart:
-            places.append([("", JOIN), (" ", DROP)])
+            places.append([("", JOIN), (" ", GAP)])
         else:
             places.append([(" ", 0.0)])
         at = run
