@@ -255,6 +255,26 @@ def test_line_dedup_against_brute_force(spark):
     assert {x for _, t in got.values() for x in t.split("\n")} >= {x for x in df if len(x.split()) >= 5}
 
 
+def test_line_dedup_with_every_earlier_holder(spark):
+    docs = table(spark, SF1, "documents").select("doc_id", "text").filter("doc_id < 400")
+    a, b, c = "one two three four five", "six seven eight nine ten", "red green blue black white"
+    tail = [(10_000, f"{a}\n{b}\n{c}"), (10_001, f"{c}\n{b}\n{a}"), (10_002, f"{b}\nshort line\n{c}"), (10_003, f"{c}\n{a}\n{b}"), (10_004, f"{b}\nshort line"), (10_005, f"{a}\n{c}\n{b}")]
+    docs = docs.union(spark.createDataFrame(tail, docs.schema))
+    texts = {r.doc_id: r.text.split("\n") for r in docs.collect()}
+    lines = {i: [x if x.split() else None for x in t] for i, t in texts.items()}
+    got = {r.doc_id: set(r._gone) for r in linededup.dedup(docs, every=True).collect()}
+    holders = defaultdict(list)
+    for i in sorted(lines):
+        for x in {x for x in lines[i] if x and len(x.split()) >= 5}:
+            holders[x].append(i)
+    for i in texts:
+        earlier = {p for x in set(lines[i]) for p in holders.get(x, ()) if p < i}
+        sizes = [len(x.split()) for x in texts[i]]
+        want = {j for p in earlier for j in linededup.blocks(linededup.align(lines[p], lines[i]), lines[p], lines[i], sizes)}
+        assert got[i] == want, i
+    assert got[10_004] == {0, 1} and got[10_005] == {0, 1, 2}
+
+
 # Toxicity
 
 
