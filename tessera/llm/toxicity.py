@@ -31,14 +31,20 @@ PRECISION = 0.95
 COVERS = 3
 #: Costs of the channel, in nats: reading a sign as a letter, as a gap, dropping a sign, dropping a gap, one letter of a run.
 READ, GAP, DROP, JOIN, RUN = 0.5, 4.0, 9.0, 0.3, 0.5
+#: Dropping a gap between pieces that aren't single letters, and dropping one of two equal letters.
+CHUNK, DOUBLE = 5.0, 6.0
 
 # Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "€"
-_RUN = re.compile(r"([^\W\d_])\1\1")
-#: Four or more single letters in a row.
-_APART = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){3,}(?!\S)")
+_RUN = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2([^\W\d_])\3")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+#: Successive tokens that are short or bear a sign between letters.
+_PIECE = r"(?:\S{1,3}|[^\W\d_]+[\W\d_](?<!\s)\S*)"
+_STRETCH = re.compile(rf"(?<!\S){_PIECE}(?: {_PIECE})+(?!\S)")
+#: Longer stretches aren't kept in the cache.
+MOST_KEPT = 40
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 #: Letters of the character model: 0 a boundary, 1-26 a-z, 27 any other letter.
@@ -78,39 +84,59 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return -np.log((tri + 5 * two[None]) / (tri.sum(axis=2, keepdims=True) + 5))
 
 
-def _spelt(span: str) -> bool:
-    """Whether single letters are set apart by signs."""
-    return len(span) > 6 and all(x.isalpha() for x in span[::2]) and not any(x.isalnum() for x in span[1::2])
+def _gap(c: str) -> bool:
+    return not c.isalpha() and c not in LEET
+
+
+def _singles(span: str) -> list[bool]:
+    """For each run of separators inside a span, whether it lies between single signs, three in a row at least."""
+    pieces = "".join(" " if _gap(c) else c for c in span).split()
+    alone, at = [False] * len(pieces), 0
+    while at < len(pieces):
+        end = at
+        while end < len(pieces) and len(set(pieces[end])) == 1 and len(pieces[end]) < 3:
+            end += 1
+        if end - at >= 3:
+            alone[at:end] = [True] * (end - at)
+        at = max(end, at + 1)
+    return [x and y for x, y in zip(alone, alone[1:], strict=False)]
 
 
 def _lattice(span: str) -> list[list[tuple[str, float]]]:
     """Readings of each place of a span: (what it stands for, cost); a blank stands for a boundary."""
-    apart = _spelt(span)
+    singles = iter(_singles(span))
     places, at = [], 0
     while at < len(span):
         c = span[at]
         run = at + 1
+        if _gap(c):
+            while run < len(span) and _gap(span[run]):
+                run += 1
+            if at == 0 or run == len(span):
+                places.append([(" ", 0.0)])
+            else:
+                places.append([("", JOIN), (" ", GAP)] if next(singles) else [(" ", 0.0), ("", CHUNK)])
+            at = run
+            continue
         while run < len(span) and span[run] == c:
             run += 1
         if c in LEET:
             reads = [(x, READ) for x in LEET[c]] + [("", DROP), (" ", GAP)]
             places += [reads] * min(run - at, 2) if run - at < 3 else [reads + [("", READ)]]
-        elif c.isalpha():
-            places += [[(c, 0.0)]] * (run - at) if run - at < 3 else [[(c, RUN), (c + c, 2 * RUN)]]
-        elif apart:
-            places.append([("", JOIN), (" ", GAP)])
+        elif run - at == 2:
+            places.append([(c + c, 0.0), (c, DOUBLE)])
         else:
-            places.append([(" ", 0.0)])
+            places.append([(c, 0.0)] if run - at < 3 else [(c, RUN), (c + c, 2 * RUN)])
         at = run
     return places
 
 
 def decode(span: str, costs: list) -> str:
     """The best path through the lattice (Viterbi over the last two letters), read out as text."""
-    states = {(0, 0): (0.0, "")}
+    states = {(0, 0): (0.0, None)}
     for readings in [*_lattice(span), [(" ", 0.0)]]:
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        following: dict[tuple[int, int], tuple] = {}
+        for (a, b), (cost, path) in states.items():
             for letters, more in readings:
                 x, y, total = a, b, cost + more
                 for c in letters:
@@ -120,16 +146,22 @@ def decode(span: str, costs: list) -> str:
                         x, y = y, z
                 best = following.get((x, y))
                 if best is None or total < best[0]:
-                    following[x, y] = (total, text + letters)
+                    following[x, y] = (total, (path, letters))
         states = following
-    return min(states.values())[1]
+    path, found = min(states.values(), key=lambda s: s[0])[1], []
+    while path:
+        path, letters = path
+        found.append(letters)
+    return "".join(reversed(found))
 
 
 class Restorer(dict):
     """Restored text: lower-cased, obfuscated spellings decoded, all else but letters one space, framed by spaces.
 
-    It is a cache of tokens, emptied when full. A token has one reading only, and so needs no
-    decoding, if signs merely surround its letters and no letter comes three times in a row.
+    It is a cache of tokens and of stretches of them, emptied when full. A token has one reading
+    only, and so needs no decoding, if signs merely surround its letters and no letter is
+    repeated against the character model. In a stretch of short or sign-bearing tokens the blanks may be dropped and
+    signs that stand alone are places of the lattice.
     """
 
     def __init__(self, model: np.ndarray, most: int = 300_000) -> None:
@@ -139,21 +171,59 @@ class Restorer(dict):
     def __missing__(self, token: str) -> str:
         if len(self) >= self.most:
             self.clear()
+        found = self.read(token)
+        if len(token) <= MOST_KEPT:
+            self[token] = found
+        return found
+
+    def read(self, span: str) -> str:
+        if " " in span:
+            bare = " ".join(filter(None, (t if len(t) == 1 else self.bare(t) for t in span.split())))
+            plain = self.apart(bare)
+            if plain and not _DOUBLED.search(bare):
+                return bare
+        else:
+            bare = self.bare(span)
+            plain = bare.isalpha()
+        if any(c.isalpha() for c in bare) and (not plain or _RUN.search(bare) or self.stammers(bare)):
+            bare, plain = decode(bare, self.costs), False
+        return bare if plain else " ".join(_NOT_LETTERS.sub(" ", bare).split())
+
+    def apart(self, span: str) -> bool:
+        """Whether the best path keeps every blank of a stretch of plain words; between words of two letters or more each depends on its neighbours only."""
+        words = span.split()
+        if not all(len(w) > 1 and w.isalpha() for w in words):
+            return False
+        for u, v in zip(words, words[1:], strict=False):
+            a, b, c, d = (ord(z) - 96 if "a" <= z <= "z" else 27 for z in u[-2:] + v[:2])
+            if self.costs[a][b][0] + self.costs[b][0][c] + self.costs[0][c][d] > self.costs[a][b][c] + self.costs[b][c][d] + CHUNK:
+                return False
+        return True
+
+    def stammers(self, word: str) -> bool:
+        """Whether the best path drops one of two equal letters; it depends on their neighbours only, unless those are doubled too."""
+        for m in _DOUBLED.finditer(word):
+            x, c, y = (ord(z) - 96 if "a" <= z <= "z" else 0 if z == " " else 27 for z in (word[m.start() - 1 : m.start()] or " ", m[1], word[m.end() : m.end() + 1] or " "))
+            if self.costs[x][c][c] + self.costs[c][c][y] > self.costs[x][c][y] + DOUBLE:
+                return True
+        return False
+
+    @staticmethod
+    def bare(token: str) -> str:
         core = token.rstrip(_EDGES)
         bare = core.lstrip(_EDGES)
         if len(bare) < len(core) and core[-len(bare) - 1] in LEET and bare[:1].isalpha():
             bare = core[-len(bare) - 1 :]
-        plain = bare.isalpha()
-        if any(c.isalpha() for c in bare) and (_RUN.search(bare) or not plain and (set(bare) & LEET.keys() or _spelt(bare))):
-            bare, plain = decode(bare, self.costs), False
-        found = self[token] = bare if plain else _NOT_LETTERS.sub(" ", bare).strip()
-        return found
+        return bare
 
     def __call__(self, text: str) -> str:
-        found = f" {' '.join(map(self.__getitem__, text.lower().split()))} "
-        if _APART.search(found):
-            found = f" {' '.join(_APART.sub(lambda m: decode(m[0], self.costs), found).split())} "
-        return found
+        flat, found, at = " ".join(text.lower().split()), [], 0
+        for m in _STRETCH.finditer(flat):
+            found += map(self.__getitem__, flat[at : m.start()].split())
+            found.append(self[m[0]])
+            at = m.end()
+        found += map(self.__getitem__, flat[at:].split())
+        return f" {' '.join(' '.join(found).split())} "
 
 
 def cues(restored: str) -> set[str]:

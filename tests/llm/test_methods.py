@@ -291,6 +291,11 @@ def test_restoration(restore, text, want):
     assert restore(text).split() == want.split()
 
 
+@pytest.mark.parametrize(("text", "want"), [("m 0 r 0 n", "moron"), ("$ t u p i d", "stupid"), ("i - d - i - o - t", "idiot"), ("id iot", "idiot"), ("mo-ron", "moron"), ("st.upid", "stupid"), ("iddiioott", "idiot"), ("m00 ron", "moron"), ("this is an id iot and a m 0 r 0 n", "this is an idiot and a moron"), ("you are it", "you are it")])
+def test_restoration_of_mixed_spellings(restore, text, want):
+    assert restore(text).split() == want.split()
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(4)
     bad = ["idiot", "moron", "loser"]
