@@ -117,7 +117,11 @@ def cutoffs(labelled: DataFrame, *, risk: float = RISK, delta: float = DELTA) ->
     held-out documents. Within a rule the cutoffs are tested from lenient to strict until the
     first that fails (fixed sequence, no loss of level); across strata and rules the level is
     divided (Bonferroni). So with probability 1 - ``delta`` no stratum loses more than ``risk``
-    of its good documents to the rules. A stratum with too few labels gets no cutoff at all.
+    of its good documents to the rules.
+
+    Strata with so few labels that no cutoff could pass, whatever it rejects, are tested together
+    as one pooled stratum, for which the bound then holds as a whole. They are told by their
+    label counts alone. If even the pool has too few labels, its strata get no cutoff.
     """
     each = risk / len(RULES)
     good = labelled.filter(F.col("quality") == 1)
@@ -127,13 +131,17 @@ def cutoffs(labelled: DataFrame, *, risk: float = RISK, delta: float = DELTA) ->
     )
     tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("turn"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, cs in RULES.items() for i, c in enumerate(cs)])
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tested = counts.withColumn("strata", F.count("*").over(everything)).withColumn("tests", tests)
-    tested = tested.select("stratum", "n", "strata", F.explode("tests").alias("t")).select("stratum", "n", "strata", "t.*")
+    least = F.lit(delta / len(RULES)) / F.count("*").over(everything)
+    counts = counts.withColumn("pool", F.when(F.pow(F.lit(1 - each), F.col("n")) <= least, F.col("stratum")))
+    pools = counts.groupBy("pool").agg(*[F.sum(c).alias(c) for c in counts.columns if c not in ("stratum", "pool")])
+    tested = pools.withColumn("strata", F.count("*").over(everything)).withColumn("tests", tests)
+    tested = tested.select("pool", "n", "strata", F.explode("tests").alias("t")).select("pool", "n", "strata", "t.*")
     level = F.lit(delta / len(RULES)) / F.col("strata")
     tested = tested.withColumn("fails", (binomial_cdf(F.col("k"), F.col("n"), each) > level).cast("int"))
-    so_far = Window.partitionBy("stratum", "rule").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("pool", "rule").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     passed = tested.withColumn("failed", F.sum("fails").over(so_far)).filter(F.col("failed") == 0)
-    return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    found = passed.groupBy(F.col("pool").alias("_pool"), "rule").agg(F.min("cutoff").alias("cutoff"))
+    return counts.join(found, F.col("pool").eqNullSafe(F.col("_pool"))).select("stratum", "rule", "cutoff")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:

@@ -154,6 +154,15 @@ def test_cutoffs_keep_good_documents(spark):
     assert all(0.01 <= c for c in found.values())
 
 
+def test_small_strata_are_tested_together(spark):
+    good = [(f"={x}", 1, 100, 0, 0, 10, 2, 0) for x in "abc" for _ in range(1000)]
+    own = [("=big", 1, 100, 30, 0, 10, 2, 0)] * 4000
+    rows = spark.createDataFrame(good + own, "stratum string, quality int, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_capitals long, n_exclaims long")
+    found = {(r.stratum, r.rule): r.cutoff for r in quality.cutoffs(rows).collect()}
+    assert [found[f"={x}", "symbol_share"] for x in "abc"] == [0.05] * 3
+    assert found["=big", "symbol_share"] == 0.30 and found["=big", "capital_share"] == 0.30
+
+
 # Mixing
 
 
