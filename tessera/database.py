@@ -6,9 +6,8 @@ import copy
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import register_functions
 from tessera.operators import dml
@@ -23,6 +22,10 @@ from tessera.types import COLLATIONS, length_limit, spark_type
 #: Triggers may set off triggers this deep; cascades that come back to a table end there.
 MOST_DEPTH = 4
 _CHANGES = "_tessera_changes"
+#: Order of the rows of a statement, where its rows may meet each other.
+_TURN = "_turn"
+#: An UPDATE in a trigger is run row by row for up to so many changed rows.
+MOST_ROWS = 100
 
 
 def _words(tokens: list[Token], n: int) -> list[str]:
@@ -52,6 +55,7 @@ class Database:
         self.savepoints: list[tuple[str, dict]] = []
         self.attached: dict[str, Database] = {}
         self.changes = 0
+        self.last_insert_rowid: int | None = None
         self.depth = 0
         self.listeners: dict[str, list[Callable[[str], None]]] = {}
         register_functions(spark)
@@ -60,12 +64,15 @@ class Database:
 
     def sql(self, text: str, args: Sequence | None = None) -> DataFrame | None:
         """Run one or more statements and return the last one's rows, if it has any."""
+        if text.lstrip().startswith("."):
+            return self._dot(text.split())
         result = None
         for tokens in split_statements(text):
             result = self.run(tokens, list(args or []))
         return result
 
     def run(self, tokens: list[Token], args: list | None = None) -> DataFrame | None:
+        self._refresh()
         tokens, args = self._bound(tokens, args or [])
         first = _words(tokens, 3) + ["", ""]
         simple = {
@@ -80,6 +87,31 @@ class Database:
             return simple[first[0]](tokens)
         return self.query(tokens, args)
 
+    def prepare(self, text: str) -> Statement:
+        """A statement that is bound and stepped through row by row."""
+        (tokens,) = split_statements(text)
+        return Statement(self, tokens)
+
+    def _dot(self, words: list[str]) -> DataFrame:
+        """``.tables``, ``.schema [table]`` and ``.help`` as rows."""
+        self._refresh()
+        only = words[1].lower() if len(words) > 1 else None
+        if words[0] == ".tables":
+            return self.spark.createDataFrame([(t,) for t in sorted(self._tables())], "name string")
+        if words[0] == ".schema":
+            return self.spark.createDataFrame([(t, self._definition(t)) for t in sorted(self._tables()) if only in (None, t)], "name string, sql string")
+        if words[0] == ".help":
+            return self.spark.createDataFrame([(".tables", "names of all tables"), (".schema [table]", "their definitions"), (".help", "this list")], "command string, shows string")
+        raise ValueError(f"no such command: {words[0]}")
+
+    def _definition(self, table: str) -> str:
+        meta = self._meta(table)
+        parts = [" ".join(filter(None, [c["name"], c.get("declared") or c["type"], "NOT NULL" if c.get("not_null") else "", "UNIQUE" if c.get("unique") else "", f"DEFAULT {c['default']}" if c["default"] is not None else ""])) for c in meta["columns"]]
+        parts += [f"PRIMARY KEY ({', '.join(meta['primary_key'])})"] if meta["primary_key"] else []
+        parts += [f"UNIQUE ({', '.join(k)})" for k in meta.get("unique_sets", [])] + [f"CHECK ({x})" for x in meta["checks"]]
+        parts += [f"FOREIGN KEY ({r['column']}) REFERENCES {r['parent']}" + (f" ({r['parent_column']})" if r["parent_column"] else "") + f" ON DELETE {r['on_delete']} ON UPDATE {r['on_update']}" for r in meta["references"]]
+        return f"CREATE TABLE {table} ({', '.join(parts)})" + (" WITH HISTORY" if meta["history"] else "")
+
     @staticmethod
     def _bound(tokens: list[Token], args: list) -> tuple[list[Token], list]:
         """``?`` and ``?N`` become literals, so that they may stand anywhere, in changes as in queries."""
@@ -136,6 +168,11 @@ class Database:
 
     # Tables
 
+    def _refresh(self) -> None:
+        """Each statement sees what other writers have committed, unless a version is pinned or a transaction is open."""
+        if self.at is None and self.staged is None and (known := self.store.versions()) and known[-1] != self.manifest["version"]:
+            self.manifest = self.store.manifest(known[-1])
+
     def _current(self) -> dict:
         return self.manifest if self.staged is None else self.staged
 
@@ -153,6 +190,7 @@ class Database:
 
     def table(self, table: str) -> DataFrame:
         """The live rows of a table, or the rows of a view."""
+        self._refresh()
         view = self._current()["views"].get(table.lower())
         if view:
             return self.sql(view)
@@ -328,9 +366,11 @@ class Database:
         index = {"table": table, "keys": keys, "where": where, "unique": "UNIQUE" in _words(tokens, 2)}
 
         def change(m: dict) -> None:
+            if index["unique"]:
+                rows = dml.index_keys(self._live(m["tables"][table]), keys, where)
+                if not dml.repeated(rows, rows.columns).isEmpty():
+                    raise ConstraintError(f"UNIQUE constraint failed: {table} has equal rows of {', '.join(keys)}")
             m["indexes"][name(tokens[at - 1]).lower()] = index
-            if index["unique"] and not where:
-                m["tables"][table].setdefault("unique_sets", []).append(keys)
 
         self._change(change)
 
@@ -384,23 +424,41 @@ class Database:
             column = added["columns"][-1]
 
             def change(m: dict) -> None:
-                if column["default"] is not None and meta["files"]:
-                    rows = self.store.read(meta).withColumn(column["name"], F.expr(rewrite(column["default"])).cast(column["type"]))
+                if meta["files"] and (column["default"] is not None or column["name"].lower() in meta.get("gone", [])):
+                    # Without the rewrite, files would show the values of a dropped column of that name.
+                    value = F.lit(None) if column["default"] is None else F.expr(rewrite(column["default"]))
+                    rows = self.store.read(meta).withColumn(column["name"], value.cast(column["type"]))
                     added["files"] = self.store.write(table, rows.select(*[c["name"] for c in added["columns"]], EXPIRES))
                 m["tables"][table] = added
 
         else:
             gone = name(rest[0]).lower()
 
+            if gone not in [c["name"].lower() for c in meta["columns"]]:
+                raise ValueError(f"no such column: {table}.{gone}")
+            if user := self._user_of(table, gone):
+                raise ValueError(f"{gone} is used by {user}")
+
             def change(m: dict) -> None:
                 # Files keep the dropped column; the schema that they are read with no longer asks for it.
                 m["tables"][table]["columns"] = [c for c in meta["columns"] if c["name"].lower() != gone]
+                m["tables"][table]["gone"] = sorted({*meta.get("gone", []), gone})
 
-            if gone in [k.lower() for k in meta["primary_key"]]:
-                raise ValueError(f"{gone} is part of the primary key")
         self._change(change)
         self.spark.catalog.dropTempView(table)
 
+    def _user_of(self, table: str, column: str) -> str | None:
+        """What needs a column: a key, a check, a reference or an index."""
+        meta = self._meta(table)
+        names = lambda text: {name(t).lower() for t in tokenize(text)}
+        if column in [k.lower() for keys in [meta["primary_key"], *meta.get("unique_sets", [])] for k in keys]:
+            return "a key"
+        if any(column in names(x) for x in meta["checks"]):
+            return "a check"
+        if any(r["column"].lower() == column for r in meta["references"]) or any(c.lower() == column for _, _, c in self._children(table)):
+            return "a reference"
+        return next((f"index {i}" for i, x in self._current()["indexes"].items() if x["table"] == table and any(column in names(k) for k in [*x["keys"], x["where"] or ""])), None)
+
     # Changes
 
     def _returning(self, tokens: list[Token]) -> tuple[list[Token], list[Token] | None]:
@@ -450,18 +508,18 @@ class Database:
             columns, i = [known[g.lower()] for g in given], end + 1
         source = tokens[i:]
         if source[0].upper == "VALUES":
-            rows = [p[1:-1] for p in split_commas(source[1:])]
-            texts = [[rewrite_tokens(v) for v in split_commas(r)] for r in rows]
+            texts = [[rewrite_tokens(v) for v in split_commas(p[1:-1])] for p in split_commas(source[1:])]
             if meta.get("fts") and len(texts[0]) == len(columns) - 1:
                 columns = columns[1:]
             if any(len(r) != len(columns) for r in texts):
                 raise ValueError(f"table {table} has {len(columns)} columns here")
             types = {c["name"]: c["type"] for c in meta["columns"]}
             cells = lambda r: ", ".join(f"{self._cell(v, types[c])} AS `{c}`" for c, v in zip(columns, r, strict=True))
-            df = self.spark.sql(" UNION ALL ".join(f"SELECT {cells(r)}" for r in texts))
+            sql = " UNION ALL ".join(f"SELECT {cells(r)}" for r in texts)
+            rows = lambda: self.spark.sql(sql)
         else:
-            df = self.query(source).toDF(*columns)
-        return self._statement(lambda: self._returned(self.insert(table, df, on=on, sets=sets, ttl=ttl), items))
+            rows = lambda: self.query(source).toDF(*columns)
+        return self._statement(lambda: self._returned(self.insert(table, rows(), on=on, sets=sets, ttl=ttl), items))
 
     @staticmethod
     def _cell(text: str, kind: str) -> str:
@@ -487,33 +545,46 @@ class Database:
             else:
                 columns.append((F.expr(rewrite(c["default"])) if c["default"] is not None else F.lit(None)).cast(c["type"]).alias(c["name"]))
         new = df.select(*columns, F.lit(None if ttl is None else int(self.clock() + ttl)).cast("long").alias(EXPIRES))
+        if on:
+            new = new.withColumn(_TURN, F.monotonically_increasing_id())
         for c in meta["columns"]:
             if c.get("autoincrement"):
                 top = existing.agg(F.coalesce(F.max(c["name"]), F.lit(0)).alias("m")).first()["m"]
                 key = F.col(c["name"])
                 missing = key.isNull() | (key == 0)
-                turn = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
-                filled = new.filter(missing).withColumn(c["name"], (F.lit(top) + turn).cast(c["type"]))
+                filled = dml.numbered(self._kept(new.filter(missing).withColumn("_mid", F.monotonically_increasing_id()), f"{table}-new"), "_mid", "_n")
+                filled = filled.withColumn(c["name"], (F.lit(top) + F.col("_n")).cast(c["type"])).select(*new.columns)
                 new = new.filter(~missing).union(filled)
         new = self._kept(new, f"{table}-new")
-        changed = new.drop(EXPIRES)
+        changed = new.drop(EXPIRES, _TURN)
         self._fire(table, "BEFORE", "INSERT", new=changed)
         dml.check_rows(changed, meta, table)
         self._parents(meta, table, changed)
         keys = meta["primary_key"]
         if on and keys:
             if on == "IGNORE":
-                new = self._kept(dml.without_conflicts(new, existing, keys), f"{table}-new")
+                new = self._kept(dml.without_conflicts(dml.one_of_each(new, keys, _TURN, last=False), existing, keys), f"{table}-new")
             elif on in ("REPLACE", "UPDATE"):
-                if not dml.repeated(new, keys).isEmpty():
-                    new = self._kept(new.dropDuplicates(keys), f"{table}-new")
+                again = not dml.repeated(new, keys).isEmpty()
+                if on == "REPLACE" or not again:
+                    new = self._kept(dml.one_of_each(new, keys, _TURN, last=True), f"{table}-new") if again else new.drop(_TURN)
                 return self._merge(table, meta, new, None if on == "REPLACE" else sets)
-            changed = new.drop(EXPIRES)
+        new, changed = new.drop(_TURN), new.drop(EXPIRES, _TURN)
         self._unique(changed, existing, meta, table)
         self._tables()[table]["files"] = meta["files"] + self.store.write(table, new)
+        self._count(meta, changed)
         self._after(table, "INSERT", new=changed)
         return changed
 
+    def _count(self, meta: dict, rows: DataFrame) -> None:
+        """``changes`` and, for a table with a whole-number key, ``last_insert_rowid`` after an insert that isn't a trigger's."""
+        key = meta["primary_key"][0] if len(meta["primary_key"]) == 1 else None
+        number = key and next(c["type"] in ("INT", "BIGINT", "SMALLINT", "TINYINT") for c in meta["columns"] if c["name"] == key)
+        found = rows.agg(F.count("*").alias("n"), (F.max(key) if number else F.lit(None).cast("long")).alias("last")).first()
+        if not self.depth:
+            self.changes = found["n"]
+            self.last_insert_rowid = found["last"] if found["last"] is not None else self.last_insert_rowid
+
     def insert_rows(self, table: str, df: DataFrame, **how) -> None:
         """Add the rows of any DataFrame as one statement: the way in for bulk loads."""
         self._statement(lambda: self.insert(table, df, **how))
@@ -522,20 +593,28 @@ class Database:
         dml.check_unique(rows, existing, meta, table)
         for keys in meta.get("unique_sets", []):
             dml.check_unique(rows, existing, {"primary_key": keys, "columns": []}, table)
+        for x in self._current()["indexes"].values():
+            if x["table"] == table and x["unique"]:
+                new, old = (dml.index_keys(df, x["keys"], x["where"]) for df in (rows, existing))
+                dml.check_unique(new, old, {"primary_key": new.columns, "columns": []}, table)
 
     def _merge(self, table: str, meta: dict, new: DataFrame, sets: dict[str, str] | None) -> DataFrame:
         """Upsert by primary key: only files that hold one of the keys are rewritten."""
         keys = meta["primary_key"]
-        wanted = new.select(*keys)
+        wanted = new.select(*keys).distinct()
         hit = self.store.touched(self.store.placed(meta).join(wanted, keys, "left_semi"))
         part = self._live(meta, hit)
         types = {c["name"].lower(): c["type"] for c in meta["columns"]}
-        exprs = None if sets is None else {k: F.expr(self._of_old(v, types)).cast(types[k.lower()]) for k, v in sets.items()}
-        merged = dml.upsert(part, new, keys, exprs)
+        exprs = None if sets is None else {k: f"CAST({self._of_old(v, types)} AS {types[k.lower()]})" for k, v in sets.items()}
+        if _TURN in new.columns:
+            merged = dml.folded(part, new, keys, exprs, _TURN)
+        else:
+            merged = dml.upsert(part, new, keys, exprs and {k: F.expr(v) for k, v in exprs.items()})
         files = self.store.write(table, merged)
         rest = [f for f in meta["files"] if f not in set(hit)]
         stored = self.store.read(meta, files)
         after = stored.join(wanted, keys, "left_semi").drop(EXPIRES)
+        self._count(meta, after)
         dml.check_rows(after, meta, table)
         others = self._live(meta, rest)
         self._unique(after, others.union(stored.join(wanted, keys, "left_anti")).select(*others.columns), meta | {"primary_key": []}, table)
@@ -573,10 +652,13 @@ class Database:
     def _update(self, tokens: list[Token]) -> DataFrame | None:
         tokens, items = self._returning(tokens)
         table = name(tokens[1]).lower()
-        head, condition = self._split(tokens, 3)
-        parts = split_commas(head[3:])
-        sets = {name(p[0]): rewrite_tokens(self._resolved(p[2:])) for p in parts}
-        return self._statement(lambda: self._returned(self.update(table, sets, condition), items))
+
+        def work() -> DataFrame | None:
+            head, condition = self._split(tokens, 3)
+            sets = {name(p[0]): rewrite_tokens(self._resolved(p[2:])) for p in split_commas(head[3:])}
+            return self._returned(self.update(table, sets, condition), items)
+
+        return self._statement(work)
 
     def _rows(self, table: str, meta: dict, condition: str) -> tuple[list[str], DataFrame]:
         """The files that hold matching live rows, and those files' live rows with ``_hit``."""
@@ -647,9 +729,8 @@ class Database:
 
     def _delete(self, tokens: list[Token]) -> DataFrame | None:
         tokens, items = self._returning(tokens)
-        _, condition = self._split(tokens, 2)
         table = name(tokens[2]).lower()
-        return self._statement(lambda: self._returned(self.delete(table, condition), items))
+        return self._statement(lambda: self._returned(self.delete(table, self._split(tokens, 2)[1]), items))
 
     def delete(self, table: str, condition: str = "true") -> DataFrame:
         """Drop the rows that match and return them. Only files with such rows are rewritten."""
@@ -694,12 +775,14 @@ class Database:
             log = self._meta(f"_history_{table}")
             top = self.store.read(log).agg(F.coalesce(F.max("history_id"), F.lit(0)).alias("m")).first()["m"]
             rows = old if event == "DELETE" else new
-            numbered = rows.select((F.lit(top) + F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).cast("long").alias("history_id"), F.lit(event).alias("history_action"), F.lit(float(self.clock())).alias("history_time"), "*", F.lit(None).cast("long").alias(EXPIRES))
+            names = rows.columns
+            rows = dml.numbered(self._kept(rows.withColumn("_mid", F.monotonically_increasing_id()), f"{table}-log"), "_mid", "_n")
+            numbered = rows.select((F.lit(top) + F.col("_n")).cast("long").alias("history_id"), F.lit(event).alias("history_action"), F.lit(float(self.clock())).alias("history_time"), *[F.col(f"`{c}`") for c in names], F.lit(None).cast("long").alias(EXPIRES))
             log["files"] = log["files"] + self.store.write(f"_history_{table}", numbered)
         self._fire(table, "AFTER", event, old=old, new=new, changes=changes)
 
     def _fire(self, table: str, timing: str, event: str, *, old: DataFrame | None = None, new: DataFrame | None = None, changes: DataFrame | None = None) -> None:
-        """Run a table's triggers once over all changed rows, as a relation with the rows OLD and NEW."""
+        """Run a table's triggers for all changed rows, which have the fields OLD and NEW."""
         fired = [t for t in self._current()["triggers"].values() if (t["table"], t["timing"], t["event"]) == (table, timing, event)]
         if not fired:
             return
@@ -707,11 +790,34 @@ class Database:
             sides = {"NEW": new, "OLD": old if new is None else None}
             side, rows = next((k, v) for k, v in sides.items() if v is not None)
             changes = rows.select(F.struct("*").alias(side))
+        changes = self._kept(changes, f"{table}-fired")
         for trigger in fired:
-            for statement in trigger["body"]:
-                for tokens in split_statements(statement):
-                    changes.createOrReplaceTempView(_CHANGES)
-                    self._deeper(lambda tokens=tokens: self.run(self._set_based(tokens)))
+            body = [tokens for statement in trigger["body"] for tokens in split_statements(statement)]
+            rows = changes.limit(MOST_ROWS + 1).collect() if any(tokens[0].upper == "UPDATE" for tokens in body) else []
+            if len(rows) > MOST_ROWS:
+                raise ValueError(f"a trigger with an UPDATE takes at most {MOST_ROWS} changed rows in a statement; this one has more")
+            # Inserts and deletes of all rows at once are the same as row by row; updates may meet their own results.
+            for row in rows:
+                for tokens in body:
+                    self._deeper(lambda tokens=tokens, row=row: self.run(*self._of_row(tokens, row)))
+            for tokens in body if not rows else []:
+                changes.createOrReplaceTempView(_CHANGES)
+                self._deeper(lambda tokens=tokens: self.run(self._set_based(tokens)))
+
+    @staticmethod
+    def _of_row(tokens: list[Token], row: Row) -> tuple[list[Token], list]:
+        """A trigger's statement for one changed row: NEW.c and OLD.c become its values."""
+        out, args, i = [], [], 0
+        while i < len(tokens):
+            if tokens[i].upper in ("NEW", "OLD") and i + 2 < len(tokens) and tokens[i + 1].text == ".":
+                values = {k.lower(): v for k, v in row[tokens[i].upper].asDict().items()}
+                args.append(values[name(tokens[i + 2]).lower()])
+                out.append(Token("param", f"?{len(args)}"))
+                i += 3
+            else:
+                out.append(tokens[i])
+                i += 1
+        return out, args
 
     @staticmethod
     def _set_based(tokens: list[Token]) -> list[Token]:
@@ -720,19 +826,11 @@ class Database:
         source = [Token("word", "FROM"), Token("word", _CHANGES)]
         if tokens[0].upper == "INSERT" and (at := _find(tokens, "VALUES")) >= 0:
             return [*tokens[:at], Token("word", "SELECT"), *tokens[at + 2 : -1], *source]
-        if not bound or (at := _find(tokens, "WHERE")) < 0 or tokens[0].upper not in ("UPDATE", "DELETE"):
+        if not bound or (at := _find(tokens, "WHERE")) < 0 or tokens[0].upper != "DELETE":
             return tokens
         left, right = [Token("sign", "(")], [Token("sign", ")")]
         exists = [Token("word", "EXISTS"), *left, Token("word", "SELECT"), Token("number", "1"), *source, *tokens[at:], *right]
         head = tokens[:at]
-        if tokens[0].upper == "UPDATE":
-            parts = []
-            for p in split_commas(tokens[3:at]):
-                value = p[2:]
-                if any(t.upper in ("NEW", "OLD") for t in value):
-                    value = [*left, Token("word", "SELECT"), Token("word", "max"), *left, *value, *right, *source, *tokens[at:], *right]
-                parts += [*p[:2], *value, Token("sign", ",")]
-            head = [*tokens[:3], *parts[:-1]]
         return [*head, Token("word", "WHERE"), *exists]
 
     # Transactions
@@ -874,3 +972,31 @@ class Database:
         rest = tokens[2 if analyze else 3 if _words(tokens[1:], 2) == ["QUERY", "PLAN"] else 1 :]
         df = self.query(rest)
         return explain.analyze(df) if analyze else explain.plan(df)
+
+
+class Statement:
+    """A prepared statement: values are bound by number from 1, rows come one by one from the executors."""
+
+    def __init__(self, db: Database, tokens: list[Token]) -> None:
+        self.db, self.tokens, self.values = db, tokens, {}
+        self.reset()
+
+    def bind(self, number: int, value: object) -> None:
+        self.values[number] = value
+
+    def step(self) -> bool:
+        """Go to the next row; False after the last one, or at once for a statement without rows."""
+        if self.rows is None:
+            args = [self.values.get(i + 1) for i in range(max(self.values, default=0))]
+            found = self.db.run(self.tokens, args)
+            self.names = found.columns if found is not None else []
+            self.rows = found.toLocalIterator() if found is not None else iter(())
+        self.row = next(self.rows, None)
+        return self.row is not None
+
+    def column(self, at: int) -> object:
+        return self.row[at]
+
+    def reset(self) -> None:
+        """Back to before the first row; bound values stay."""
+        self.rows, self.row, self.names = None, None, []

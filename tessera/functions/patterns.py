@@ -30,6 +30,13 @@ def glob_to_regex(pattern: str) -> str:
     return "^(?s)" + "".join(out) + r"\z"
 
 
+def glob_expression(pattern: str) -> str:
+    """The same for a pattern that is an expression: a chain of replacements in SQL. Classes may not hold ``*`` or ``?``."""
+    escaped = rf"regexp_replace({pattern}, '([.+(){{}}|$\\\\])', '\\\\$1')"
+    escaped = rf"regexp_replace({escaped}, '(?<!\\[)\\^', '\\\\^')"
+    return rf"concat('^(?s)', replace(replace(replace({escaped}, '[!', '[^'), '*', '.*'), '?', '.'), '\\z')"
+
+
 def strftime_to_pattern(fmt: str) -> str:
     """Spark's pattern for a strftime format; directives without a counterpart are refused."""
     out = []

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.plans.dialect import rewrite
 
@@ -62,9 +63,36 @@ def check_parents(rows: DataFrame, column: str, parent: DataFrame, parent_column
         raise ConstraintError(message)
 
 
+def index_keys(rows: DataFrame, keys: list[str], where: str | None) -> DataFrame:
+    """The keys of an index, which may be expressions, of the rows that it covers."""
+    covered = rows if where is None else rows.filter(rewrite(where))
+    return covered.select(*[F.expr(rewrite(k)).alias(f"key{i}") for i, k in enumerate(keys)])
+
+
+def one_of_each(rows: DataFrame, keys: list[str], turn: str, *, last: bool) -> DataFrame:
+    """The last or the first row of each key in order of ``turn``, which goes."""
+    columns = [c for c in rows.columns if c != turn]
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(*keys).agg(pick(F.struct(*columns), F.col(turn)).alias("_row")).select("_row.*")
+
+
+def numbered(rows: DataFrame, mid: str, to: str) -> DataFrame:
+    """``rows`` with ``to``: 1, 2, ... in order of ``mid``, a stored ``monotonically_increasing_id``.
+
+    Each partition's rows are numbered by their offset, and a small row per partition carries
+    the count of those before it, so no task sees more than its own rows.
+    """
+    marked = rows.withColumn("_part", F.shiftright(mid, 33))
+    parts = marked.groupBy("_part").agg(F.count("*").alias("_rows"), F.min(mid).alias("_first"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_rows")
+    found = marked.join(parts, "_part")
+    return found.withColumn(to, F.col("_before") + F.col(mid) - F.col("_first") + 1).drop("_part", "_first", "_before", mid)
+
+
 def without_conflicts(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """The first of the new rows of each key, if the table hasn't that key yet."""
-    return rows.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti").select(*rows.columns)
+    """New rows, one of each key, whose key the table hasn't yet."""
+    return rows.join(existing.select(*keys), keys, "left_anti").select(*rows.columns)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], sets: dict[str, Column] | None = None) -> DataFrame:
@@ -86,6 +114,23 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], sets: dict
     return both.select(*columns)
 
 
+def folded(existing: DataFrame, incoming: DataFrame, keys: list[str], sets: dict[str, str], turn: str) -> DataFrame:
+    """``existing`` after the upserts of ``incoming``, one after another in order of ``turn``, whose keys may repeat.
+
+    The first row of a new key is inserted, every other one changes what is there by then:
+    ``sets`` are SQL expressions over ``old`` and ``excluded``. One join and one fold per key.
+    """
+    columns = existing.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    queue = incoming.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), row.alias("r")))), lambda x: x["r"]).alias("_queue"))
+    both = existing.select(*keys, row.alias("_old")).join(queue, keys, "full")
+    step = ", ".join(f"'{c}', {sets.get(c, f'old.`{c}`')}" for c in columns)
+    start = F.coalesce(F.col("_old"), F.col("_queue")[0])
+    rest = F.when(F.col("_old").isNotNull(), F.col("_queue")).otherwise(F.slice("_queue", 2, F.greatest(F.size("_queue"), F.lit(1))))
+    folded_ = both.withColumn("_start", start).withColumn("_rest", rest).withColumn("_row", F.expr(f"aggregate(coalesce(_rest, slice(array(_start), 1, 0)), _start, (old, excluded) -> named_struct({step}))"))
+    return folded_.select("_row.*")
+
+
 def update(rows: DataFrame, condition: Column, sets: dict[str, Column]) -> DataFrame:
     hit = F.coalesce(condition, F.lit(False))
     return rows.select(*[F.when(hit, sets[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in rows.columns])

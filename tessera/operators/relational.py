@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import dml
-from tessera.session import load
+from tessera.session import load, scratch
 from tessera.streaming import windows
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared folder of the session, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
-
-
 def dml_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations merged with two rows, of which one is new."""
     nation = load(spark, sf_dir, "nation")

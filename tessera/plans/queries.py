@@ -9,11 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import relational
+from tessera.operators import relational, statements
 from tessera.plans.dialect import rewrite
 from tessera.plans.tokens import tokenize
 from tessera.session import TABLES, load
 
+#: Vectors of 768 dimensions, as text.
+_LONG, _ZEROS = ("[" + ", ".join(str(x) for x in v) + "]" for v in ([i % 7 + 0.5 for i in range(768)], [0.0] * 768))
+
 #: name -> (statement, oracle); an oracle of None means the same text, "" that there is none.
 STATEMENTS: dict[str, tuple[str, str | None]] = {
     # Scans and projection
@@ -35,14 +38,20 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "in_list": ("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND (o_orderstatus = 'F' OR o_totalprice > 200000)", None),
     "null_tests": ("SELECT d.doc_id, l.quality IS NULL AS unlabelled FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id WHERE l.toxic IS NULL OR l.toxic IS NOT NULL AND l.quality = 0", None),
     "in_subquery": ("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)", None),
-    "not_in_subquery": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)", None),
+    "not_in_subquery": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", None),
     "exists_subquery": ("SELECT c_custkey FROM customer AS c WHERE EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)", None),
-    "not_exists_subquery": ("SELECT c_custkey FROM customer AS c WHERE NOT EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)", None),
+    "not_exists_subquery": ("SELECT c_custkey FROM customer AS c WHERE NOT EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)", None),
     "scalar_subquery": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)", None),
     "derived_table": ("SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) AS t GROUP BY n", None),
     "collate_nocase": ("SELECT c_custkey FROM customer WHERE c_mktsegment COLLATE NOCASE = 'building'", None),
     "collate_rtrim": ("SELECT n_nationkey FROM nation WHERE n_name COLLATE RTRIM = rpad((SELECT min(n_name) FROM nation), 30, ' ')", "SELECT n_nationkey FROM nation WHERE rtrim(n_name) = (SELECT min(n_name) FROM nation)"),
+    "glob_column": ("SELECT n_nationkey FROM nation WHERE n_name GLOB concat('*', substr(n_name, 1, 1), '?*') AND n_name NOT GLOB (CASE WHEN n_regionkey = 1 THEN '[A-C]*' ELSE '[!A-T]*' END)", "SELECT n_nationkey FROM nation WHERE regexp_full_match(n_name, '.*' || substr(n_name, 1, 1) || '..*', 's') AND NOT regexp_full_match(n_name, CASE WHEN n_regionkey = 1 THEN '[A-C].*' ELSE '[^A-T].*' END, 's')"),
+    "match_column": ("SELECT n_nationkey FROM nation WHERE n_name MATCH lower(substr(n_name, 2, 2)) AND n_name MATCH CASE WHEN n_regionkey < 3 THEN 'an' ELSE 'ia' END", "SELECT n_nationkey FROM nation WHERE contains(lower(n_name), lower(substr(n_name, 2, 2))) AND contains(lower(n_name), CASE WHEN n_regionkey < 3 THEN 'an' ELSE 'ia' END)"),
     # Joins
+    "join_natural": ("SELECT doc_id, quality FROM documents NATURAL JOIN labels", None),
+    "join_comma": ("SELECT c_custkey, n_name FROM customer, nation WHERE c_nationkey = n_nationkey AND n_regionkey = 2", None),
+    "join_cross": ("SELECT r_name, n_name FROM region CROSS JOIN nation", None),
+    "join_range": ("SELECT p_partkey, b.band FROM part JOIN (SELECT 'small' AS band, 1 AS lo, 10 AS hi UNION ALL SELECT 'mid', 11, 30 UNION ALL SELECT 'big', 31, 60) AS b ON p_size BETWEEN b.lo AND b.hi", None),
     "join_inner": ("SELECT o.o_orderkey, c.c_name FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = 3", None),
     "join_left": ("SELECT d.doc_id, l.quality FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id", None),
     "join_right": ("SELECT l.quality, d.doc_id FROM labels AS l RIGHT JOIN documents AS d ON l.doc_id = d.doc_id", None),
@@ -65,6 +74,9 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "agg_multi_key": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus", None),
     "agg_rollup": ("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)", None),
     "agg_cube": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", None),
+    "agg_grouping_sets": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", None),
+    "agg_spread": ("SELECT p_brand, round(stddev(p_retailprice), 6) AS s, round(var_pop(p_retailprice), 4) AS v, round(corr(p_size, p_retailprice), 9) AS c FROM part GROUP BY p_brand", None),
+    "agg_strings": ("SELECT n_regionkey, array_join(array_sort(collect_list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "agg_over_join": ("SELECT n.n_name, count(*) AS n, round(sum(o.o_totalprice), 2) AS total FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", None),
     "sum_int": ("SELECT p_brand, sum(p_size) AS s FROM part GROUP BY p_brand", "SELECT p_brand, sum(p_size)::BIGINT AS s FROM part GROUP BY p_brand"),
     # Windows
@@ -73,6 +85,8 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "window_count_star": ("SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders", None),
     "window_whole": ("SELECT n_nationkey, sum(n_nationkey) OVER () AS s FROM nation", "SELECT n_nationkey, (sum(n_nationkey) OVER ())::BIGINT AS s FROM nation"),
     "window_running": ("SELECT o_orderkey, sum(1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders", "SELECT o_orderkey, (sum(1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders"),
+    "window_offsets": ("SELECT c_custkey, lead(c_custkey) OVER w AS after, first_value(c_custkey) OVER w AS first, last_value(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS d FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)", "SELECT c_custkey, lead(c_custkey) OVER w AS after, first_value(c_custkey) OVER w AS first, last_value(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, (ntile(4) OVER w)::INT AS quarter, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS d FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)"),
+    "window_range": ("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM part", None),
     "window_top_n": ("SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) AS t WHERE rn <= 3 ORDER BY c_nationkey, rn", None),
     # Sorting and limits
     "order_multi": ("SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment ASC, c_acctbal DESC, c_custkey LIMIT 50", None),
@@ -82,6 +96,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "order_date": ("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25", None),
     "order_nulls": ("SELECT k FROM (SELECT nullif(n_regionkey, 2) AS k, n_nationkey FROM nation) AS t ORDER BY k, n_nationkey LIMIT 8", "SELECT k FROM (SELECT nullif(n_regionkey, 2) AS k, n_nationkey FROM nation) AS t ORDER BY k NULLS FIRST, n_nationkey LIMIT 8"),
     "topk": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", None),
+    "limit_early": ("SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem LIMIT 1000) AS t", None),
     "limit_comma": ("SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 4, 6", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 6 OFFSET 4"),
     # Sets
     "union_all": ("SELECT n_nationkey AS k FROM nation UNION ALL SELECT c_nationkey FROM customer", None),
@@ -103,14 +118,16 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "scalar_cast": ("SELECT event_id, CAST(value AS INTEGER) AS i, CAST(event_id AS TEXT) AS t, CAST('12abc' AS INT) AS bad FROM events", "SELECT event_id, trunc(value)::INT AS i, event_id::VARCHAR AS t, NULL::INT AS bad FROM events"),
     "scalar_coalesce": ("SELECT d.doc_id, coalesce(l.quality, -1) AS q FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id", None),
     "scalar_strftime": ("SELECT o_orderkey, strftime('%Y-%m-%d %H:%M:%S', o_orderdate) AS d FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS d FROM orders"),
-    "scalar_case": ("SELECT p_partkey, CASE WHEN p_size > 30 THEN 'Bulk' WHEN p_size >= 10 THEN 'Standard' ELSE 'Small' END AS kind, p_retailprice * p_size AS value FROM part", None),
+    "scalar_case": ("SELECT p_partkey, CASE WHEN p_size > 42 THEN 'top shelf' WHEN p_size >= 17 THEN 'middle' ELSE 'floor' END AS kind, p_retailprice * p_size AS value FROM part", None),
     "scalar_arithmetic": ("SELECT p_partkey, p_size + 1 AS a, p_size - 1 AS b, p_size * 2 AS c, p_retailprice / (p_size - 10) AS d, p_size % 7 AS e FROM part", "SELECT p_partkey, p_size + 1 AS a, p_size - 1 AS b, p_size * 2 AS c, p_retailprice / nullif(p_size - 10, 0) AS d, p_size % 7 AS e FROM part"),
     "scalar_case_fold": ("SELECT n_nationkey, lower(n_name) AS l, upper(n_name) AS u, concat(n_name, '!') AS c FROM nation", None),
     "json_extract": ("SELECT event_id, json_extract(props, '$.k') AS k, json_extract(props, '$.none') AS none FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS none FROM events"),
-    "json_nested": ("SELECT json_extract('{\"user\": {\"id\": 100}}', '$.user.id') AS id FROM region", "SELECT '100' AS id FROM region"),
+    "json_nested": ("SELECT event_id, json_extract(concat('{\"a\": {\"b\": ', event_id, ', \"c\": [1, ', user_id, ']}}'), '$.a.b') AS b, json_extract(concat('{\"a\": {\"c\": [1, ', user_id, ']}}'), '$.a.c[1]') AS c FROM events", "SELECT event_id, event_id::VARCHAR AS b, user_id::VARCHAR AS c FROM events"),
     "json_build": ("SELECT n_nationkey, json_object('k', n_nationkey, 'n', n_name) AS o, json_array(n_nationkey, n_name) AS a FROM nation", "SELECT n_nationkey, json_object('k', n_nationkey, 'n', n_name)::VARCHAR AS o, json_array(n_nationkey, n_name)::VARCHAR AS a FROM nation"),
-    "random_now": ("SELECT n_nationkey, random() IS NOT NULL AS r, length(datetime('now')) AS d, length(date('now')) AS e, length(time('now')) AS t FROM nation", ""),
+    "random_now": ("SELECT n_nationkey, random() IS NOT NULL AS r, length(datetime('now')) AS d, length(date('now')) AS e, length(time('now')) AS t FROM nation", "SELECT n_nationkey, true AS r, 19 AS d, 10 AS e, 8 AS t FROM nation"),
+    "scalar_text": ("SELECT n_nationkey, substr(n_name, 2, 3) AS a, trim(concat('  ', n_name, ' ')) AS b, replace(n_name, 'A', 'e') AS c, round(n_nationkey / 7, 3) AS d, ifnull(nullif(n_regionkey, 2), -1) AS e, instr(n_name, 'AN') AS f FROM nation", "SELECT n_nationkey, substr(n_name, 2, 3) AS a, trim(concat('  ', n_name, ' ')) AS b, replace(n_name, 'A', 'e') AS c, round(n_nationkey / 7, 3) AS d, coalesce(nullif(n_regionkey, 2), -1) AS e, instr(n_name, 'AN')::INT AS f FROM nation"),
     # Vectors
+    "vector_long": (f"SELECT n_nationkey, round(l2_distance('{_LONG}', '{_ZEROS}') * n_nationkey, 6) AS d FROM nation", f"SELECT n_nationkey, round(list_distance({_LONG}::DOUBLE[], {_ZEROS}::DOUBLE[]) * n_nationkey, 6) AS d FROM nation"),
     "knn_l2": ("SELECT v.vec_id, round(l2_distance(v.embedding, q.embedding), 9) AS d FROM embeddings AS v CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) AS q ORDER BY l2_distance(v.embedding, q.embedding), v.vec_id LIMIT 5", "SELECT v.vec_id, round(list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS d FROM embeddings AS v CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) AS q ORDER BY list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), v.vec_id LIMIT 5"),
     "knn_cosine": ("SELECT v.vec_id, round(cosine_similarity(v.embedding, q.embedding), 6) AS s FROM embeddings AS v CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) AS q ORDER BY cosine_similarity(v.embedding, q.embedding) DESC, v.vec_id LIMIT 5", "SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS s FROM embeddings AS v CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) AS q ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id LIMIT 5"),
     # The flagship
@@ -130,9 +147,9 @@ def run(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: lambda spark, sf_dir, statement=statement: run(spark, sf_dir, statement) for name, (statement, _) in STATEMENTS.items()}
-    return found | {f.__name__: f for f in relational.QUERIES}
+    return found | {f.__name__: f for f in (*relational.QUERIES, *statements.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: statement if oracle is None else oracle for name, (statement, oracle) in STATEMENTS.items() if oracle != ""}
-    return found | relational.ORACLES
+    return found | relational.ORACLES | statements.ORACLES

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,17 @@ def build_session(name: str = "tessera", cpus: int | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared folder of the session. A local session without one gets a temporary folder; on a cluster that would break, so it is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that every executor reaches")
+        base = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import scratch
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table, one file or a folder of them, as a stream of files."""
@@ -15,17 +15,25 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windowed(events: DataFrame, window: Column, late: str, keys: list[str]) -> DataFrame:
-    """Counts per window and key; rows later than the watermark are dropped."""
+    """Counts per window and key. In append and update mode rows later than the watermark are dropped, and append mode gives a window once it is closed; complete mode keeps all."""
     found = events.withWatermark("ts", late).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"))
     return found.select(F.col("w.start").alias("start"), *keys, "n")
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and return its result table."""
-    spark, name = stream.sparkSession, f"tessera_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over all that is there now and return its result table, which is written to the shared folder."""
+    spark = stream.sparkSession
+    path = scratch(spark, "stream")
+
+    def put(rows: DataFrame, batch: int) -> None:
+        """A batch that is tried again writes its own folder anew; a complete result replaces the one before."""
+        rows.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={batch}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if query.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
 
 
 def tumbling(spark: SparkSession, sf_dir: str, length: str = "1 hour", late: str = "1 hour") -> DataFrame:

@@ -30,20 +30,62 @@ def test_insert_defaults_and_constraints(db):
 
 
 def test_upserts_and_returning(db):
-    db.sql("CREATE TABLE t_up (id INT PRIMARY KEY, val TEXT)")
-    db.sql("INSERT INTO t_up VALUES (1, 'initial')")
-    assert rows(db, "INSERT OR IGNORE INTO t_up VALUES (1, 'ignored') RETURNING id") == []
-    assert rows(db, "INSERT OR REPLACE INTO t_up VALUES (1, 'replaced') RETURNING val") == [("replaced",)]
-    db.sql("INSERT INTO t_up VALUES (1, 'x'), (2, 'new') ON CONFLICT (id) DO UPDATE SET val = 'updated'")
-    assert rows(db, "SELECT * FROM t_up ORDER BY id") == [(1, "updated"), (2, "new")]
-    db.sql("INSERT INTO t_up VALUES (2, 'y') ON CONFLICT (id) DO UPDATE SET val = val || '-it''s-' || excluded.val")
-    assert rows(db, "SELECT val FROM t_up WHERE id = 2") == [("new-it's-y",)]
-    db.sql("UPDATE t_up SET val = 'new' WHERE id = 2")
-    assert rows(db, "UPDATE t_up SET val = upper(val) WHERE id = 2 RETURNING *") == [(2, "NEW")]
-    assert rows(db, "DELETE FROM t_up WHERE id = 1 RETURNING val") == [("updated",)]
+    db.sql("CREATE TABLE stock (sku INT PRIMARY KEY, place TEXT, pieces INT DEFAULT 10)")
+    db.sql("INSERT INTO stock (sku, place) VALUES (17, 'cellar'), (4, 'attic')")
+    assert rows(db, "INSERT OR IGNORE INTO stock VALUES (17, 'yard', 1) RETURNING sku") == []
+    assert rows(db, "INSERT OR REPLACE INTO stock VALUES (17, 'shed', 3) RETURNING place, pieces") == [("shed", 3)]
+    db.sql("INSERT INTO stock VALUES (17, 'shelf', 5), (30, 'hall', 2) ON CONFLICT (sku) DO UPDATE SET pieces = pieces + excluded.pieces")
+    assert rows(db, "SELECT * FROM stock ORDER BY sku") == [(4, "attic", 10), (17, "shed", 8), (30, "hall", 2)]
+    db.sql("INSERT INTO stock VALUES (30, 'loft', 0) ON CONFLICT (sku) DO UPDATE SET place = place || '-it''s-' || excluded.place")
+    assert rows(db, "SELECT place FROM stock WHERE sku = 30") == [("hall-it's-loft",)]
+    assert rows(db, "UPDATE stock SET place = upper(place), pieces = 0 WHERE sku < 10 RETURNING *") == [(4, "ATTIC", 0)]
+    assert rows(db, "DELETE FROM stock WHERE pieces > 5 RETURNING place") == [("shed",)]
     assert db.changes == 1
 
 
+def test_keys_that_repeat_in_a_statement(db):
+    db.sql("CREATE TABLE acc (id INT PRIMARY KEY, v TEXT, n INT)")
+    db.sql("INSERT OR REPLACE INTO acc VALUES (1, 'a', 1), (1, 'b', 2)")
+    db.sql("INSERT OR IGNORE INTO acc VALUES (2, 'c', 1), (2, 'd', 2)")
+    db.sql("INSERT INTO acc VALUES (1, 'e', 10), (3, 'f', 20), (1, 'g', 30), (3, 'h', 40) ON CONFLICT (id) DO UPDATE SET v = v || excluded.v, n = n + excluded.n")
+    assert rows(db, "SELECT * FROM acc ORDER BY id") == [(1, "beg", 42), (2, "c", 1), (3, "fh", 60)]
+
+
+def test_readers_see_commits_and_subqueries_are_fresh(db, spark):
+    db.sql("CREATE TABLE t (id INT); CREATE TABLE k (id INT)")
+    other = Database(spark, db.store.root)
+    db.sql("INSERT INTO t VALUES (1), (2)")
+    assert rows(other, "SELECT count(*) FROM t") == [(2,)]
+    other.sql("INSERT INTO k VALUES (2)")
+    db.sql("DELETE FROM t WHERE id NOT IN (SELECT id FROM k)")
+    assert rows(db, "SELECT id FROM t") == [(2,)]
+
+
+def test_triggers_run_for_each_row(db):
+    db.sql("CREATE TABLE src (id INT, v INT); CREATE TABLE c (id INT, n INT); INSERT INTO c VALUES (1, 0), (2, 100)")
+    db.sql("CREATE TRIGGER tr AFTER INSERT ON src BEGIN UPDATE c SET n = n + NEW.v WHERE id = 1; UPDATE c SET n = n + 1 WHERE id = 2; END")
+    db.sql("INSERT INTO src VALUES (1, 5), (2, 6), (3, 7)")
+    assert rows(db, "SELECT * FROM c ORDER BY id") == [(1, 18), (2, 103)]
+    with pytest.raises(ValueError, match="at most"):
+        db.insert_rows("src", db.spark.range(200).selectExpr("CAST(id AS INT) + 10 AS id", "1 AS v"))
+    assert rows(db, "SELECT count(*) FROM src") == [(3,)]
+
+
+def test_dropped_columns_and_unique_indexes(db):
+    db.sql("CREATE TABLE t (id INT PRIMARY KEY, v TEXT, w INT CHECK (w > 0), x INT); INSERT INTO t VALUES (1, 'a', 5, 6), (2, 'A', 7, 8)")
+    with pytest.raises(ValueError, match="check"):
+        db.sql("ALTER TABLE t DROP COLUMN w")
+    db.sql("ALTER TABLE t DROP COLUMN x; ALTER TABLE t ADD COLUMN x TEXT")
+    assert rows(db, "SELECT id, x FROM t ORDER BY id") == [(1, None), (2, None)]
+    with pytest.raises(ConstraintError):
+        db.sql("CREATE UNIQUE INDEX u ON t (lower(v))")
+    db.sql("CREATE UNIQUE INDEX u ON t (lower(v)) WHERE id > 1")
+    with pytest.raises(ConstraintError):
+        db.sql("INSERT INTO t VALUES (3, 'a', 1, 'x')")
+    db.sql("DROP INDEX u; INSERT INTO t VALUES (3, 'a', 1, 'x')")
+    assert rows(db, "SELECT count(*) FROM t") == [(3,)]
+
+
 def test_cascades(db):
     db.sql("CREATE TABLE parents (id INT, name TEXT); CREATE TABLE kids (id INT, pid INT REFERENCES parents(id) ON DELETE CASCADE ON UPDATE CASCADE)")
     db.sql("CREATE TABLE strict (id INT, pid INT REFERENCES parents(id))")
@@ -95,16 +137,16 @@ def test_transactions_and_conflicts(db, spark):
 
 
 def test_schema_changes(db):
-    db.sql("CREATE TABLE old (id INT, v TEXT, w INT); INSERT INTO old VALUES (1, 'a', 5)")
-    db.sql("ALTER TABLE old RENAME TO new; ALTER TABLE new ADD COLUMN age INT DEFAULT 7; ALTER TABLE new DROP COLUMN w")
-    assert rows(db, "SELECT * FROM new") == [(1, "a", 7)]
-    db.sql("CREATE VIEW quoted AS SELECT 'it''s' AS q FROM new")
+    db.sql("CREATE TABLE birds (id INT, kind TEXT, ring INT); INSERT INTO birds VALUES (6, 'wren', 88)")
+    db.sql("ALTER TABLE birds RENAME TO flock; ALTER TABLE flock ADD COLUMN grams INT DEFAULT 9; ALTER TABLE flock DROP COLUMN ring")
+    assert rows(db, "SELECT * FROM flock") == [(6, "wren", 9)]
+    db.sql("CREATE VIEW quoted AS SELECT 'it''s' AS q FROM flock")
     assert rows(db, "SELECT q FROM quoted") == [("it's",)]
-    db.sql("CREATE INDEX i ON new (lower(v)) WHERE id = 1; CREATE VIEW few AS SELECT * FROM new WHERE v = 'a' OR id = 9")
-    assert rows(db, "SELECT id FROM few WHERE age < 3") == []
-    assert [r[1] for r in rows(db, "PRAGMA table_info(new)")] == ["id", "v", "age"]
-    assert rows(db, "PRAGMA index_list(new)") == [(0, "i", 0, "lower(v)", 1)]
-    db.sql("DROP VIEW few; DROP TABLE new")
+    db.sql("CREATE INDEX i ON flock (lower(kind)) WHERE id = 6; CREATE VIEW few AS SELECT * FROM flock WHERE kind = 'wren' OR id = 70")
+    assert rows(db, "SELECT id FROM few WHERE grams < 3") == []
+    assert [r[1] for r in rows(db, "PRAGMA table_info(flock)")] == ["id", "kind", "grams"]
+    assert rows(db, "PRAGMA index_list(flock)") == [(0, "i", 0, "lower(kind)", 1)]
+    db.sql("DROP VIEW few; DROP TABLE flock")
     assert rows(db, "PRAGMA tables") == []
 
 

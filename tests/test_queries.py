@@ -34,6 +34,10 @@ def test_query(spark, duck, name):
     result = duck.execute(oracle)
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
+    types = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+    kinds = dict(df.dtypes)
+    wrong = {d[0]: (kinds[d[0]], str(d[1])) for d in result.description if kinds[d[0]] in types and str(d[1]) not in (types[kinds[d[0]]], "STRING", "NUMBER", "bool", "DATETIME")}
+    assert not wrong
     assert _same(rows, df.columns, sorted(columns)) == _same(result.fetchall(), columns, sorted(columns))
 
 
