@@ -20,6 +20,10 @@ BANDS, ROWS = 32, 5
 SIGNATURE = BANDS * ROWS
 #: Words whose documents are signed at once, which bounds memory.
 BLOCK = 200_000
+#: Earlier shared elements that go with an element of a prefix, so that a pair is listed about once.
+RECENT = 16
+#: Classes of size, per factor e, within which holders of a rare shingle are compared with one of them.
+CLASSES = 16
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -51,15 +55,25 @@ def bag(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(hashes), return_counts=True)
 
 
+def _gap(r: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Exponential waiting times of processes of rate ``width``, from the upper 40 bits of ``r``."""
+    return -np.log(((r >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40) / width
+
+
 def sign(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIGNATURE) -> np.ndarray:
     """BagMinHash: row i is the signature of the i-th non-empty bag.
 
-    The weight axis is divided into dyadic intervals, [0, 1), [1, 2), [2, 4), ... On each, an
-    element has a Poisson process of its own in time, of a rate equal to the width, whose points
-    carry a weight position and a component. A bag sees the points whose position lies under its
-    weight of the element, and a component's signature is its first point. The first point of a
-    union is equally likely to be anywhere in it, so two components agree with probability
-    sum(min) / sum(max), the weighted Jaccard similarity.
+    Each element has a Poisson process over (time, weight), weights in unit steps. It is a
+    hierarchy: the intervals [0, 1), [1, 2), [2, 4), [4, 8), ... of the weight axis have
+    processes of a rate equal to their width, and one that is wider than a unit is split when
+    its first point comes up: one half, by a coin, inherits the point, the other one gets a
+    first point after a further wait. Halves that begin at or above the bag's weight of the
+    element are dropped, so an element of weight w costs about log w splits for each point. The
+    points of unit intervals carry a component, and a component's signature is its first point.
+    Coins and waits depend on the element and the interval alone, so bags see the same points
+    where their weights overlap. The first point of a union is equally likely to be anywhere in
+    it, so two components agree with probability sum(min) / sum(max), the weighted Jaccard
+    similarity.
 
     Only points up to a time by which all components are likely to have one are made; bags that
     still lack one are signed again to twice that time.
@@ -67,36 +81,44 @@ def sign(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIGNATURE) -> np
     found = np.zeros((len(bags), size), dtype=np.uint64)
     todo, reach = np.arange(len(bags)), np.log(size) + 4
     while len(todo):
-        doc, key, level, limit = [], [], [], []
+        doc, key, low, width, limit = [], [], [], [], []
         total = np.array([bags[i][1].sum() for i in todo], dtype=np.float64)
         for at, i in enumerate(todo):
             elements, counts = bags[i]
             for j in range(int(counts.max() - 1).bit_length() + 1):
-                has = slice(None) if j == 0 else counts > (1 << (j - 1))
+                start = 1 << (j - 1) if j else 0
+                has = slice(None) if j == 0 else counts > start
                 e = elements[has]
                 doc.append(np.full(len(e), at))
                 key.append(mix(e + _times(j)))
-                level.append(np.full(len(e), j))
+                low.append(np.full(len(e), start))
+                width.append(np.full(len(e), max(1, start)))
                 limit.append(counts[has])
-        doc, key, level, limit = (np.concatenate(x) for x in (doc, key, level, limit))
-        end = (size * reach / total)[doc]
-        low = np.where(level > 0, 2.0 ** (level - 1), 0.0)
-        width = np.where(level > 0, low, 1.0)
-        time, step = np.zeros(len(doc)), 0
+        doc, key, low, width, limit = (np.concatenate(x) for x in (doc, key, low, width, limit))
+        stop = size * reach / total
+        time, turn = _gap(mix(key), width), np.ones(len(doc), dtype=np.uint64)
         cells, times, points = [], [], []
         while len(doc):
-            step += 1
-            r = mix(key + _times(step))
-            time = time - np.log(((r >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40) / width
-            near = time <= end
+            near = time <= stop[doc]
             if not near.all():
-                doc, key, level, limit, end, low, width, time, r = (x[near] for x in (doc, key, level, limit, end, low, width, time, r))
-            inside = level == 0
-            if not inside.all():
-                inside |= low + width * ((mix(r + _GOLDEN) >> np.uint64(11)).astype(np.float64) * 2.0**-53) < limit
-            cells.append((doc * size + ((r & np.uint64(0xFFFFFF)) * np.uint64(size) >> np.uint64(24)).astype(np.int64))[inside])
-            times.append(time[inside])
-            points.append(r[inside])
+                doc, key, low, width, limit, time, turn = (x[near] for x in (doc, key, low, width, limit, time, turn))
+            r = mix(key + turn * _GOLDEN)
+            unit = width == 1
+            u = slice(None) if unit.all() else unit
+            cells.append(doc[u] * size + ((r[u] & np.uint64(0xFFFFFF)) * np.uint64(size) >> np.uint64(24)).astype(np.int64))
+            times.append(time[u])
+            points.append(r[u])
+            following = [(doc[u], key[u], low[u], width[u], limit[u], time[u] + _gap(r[u], 1), turn[u] + np.uint64(1))]
+            if not isinstance(u, slice):
+                doc, key, low, width, limit, time, r = (x[~unit] for x in (doc, key, low, width, limit, time, r))
+                width = width // 2
+                right = (r & np.uint64(1)).astype(bool)
+                later = time + _gap(r, width)
+                for side, first in ((0, np.where(right, later, time)), (1, np.where(right, time, later))):
+                    start = low + side * width
+                    has = start < limit
+                    following.append(tuple(x[has] for x in (doc, mix(key + _times(2 + side)), start, width, limit, first, np.ones(len(doc), dtype=np.uint64))))
+            doc, key, low, width, limit, time, turn = (np.concatenate(x) for x in zip(*following, strict=True)) if len(following) > 1 else following[0]
         cells, times, points = (np.concatenate(x) for x in (cells, times, points))
         order = np.argsort(times)[::-1]
         sketch, filled = np.zeros(len(todo) * size, dtype=np.uint64), np.zeros(len(todo) * size, dtype=bool)
@@ -166,12 +188,6 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", _hashes(F.col("_lt")).alias("left"), _hashes(F.col("_rt")).alias("right")).mapInArrow(_verify_batches, "a long, b long")
 
 
-def _possible(common_a: str, common_b: str, size_a: str, size_b: str) -> Column:
-    """Whether an overlap of at most the lesser common weight can make two bags similar."""
-    most = F.least(F.col(common_a), F.col(common_b))
-    return sum(SIMILAR) * most >= SIMILAR[0] * (F.col(size_a) + F.col(size_b))
-
-
 def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists, nodes = batch.column("words"), batch.column("node").to_numpy()
@@ -180,51 +196,79 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), nodes[i])), pa.array(found.view(np.int64)), pa.array(weights.astype(np.int64))], names=["node", "shingle", "weight"])
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members (key, node, size, label) of buckets that hold more than one component, with the bucket's least size.
+
+    The buckets are written, so that the join stands alone and a large bucket may be split.
+    """
+    keys = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("size").alias("least"))
+    return members.join(written(keys.filter("lo != hi").select("key", "least"), "mixed"), "key")
+
+
 def _promising(left: DataFrame, shingled: DataFrame) -> DataFrame:
-    """Rows (key, node, size, label) of ``left`` that may still have a similar partner, with ``common``.
+    """Nodes (node, size, label) of ``left`` that may still have a similar partner in another component.
 
-    ``common`` is the weight of a node's shingles that any other node of ``left`` has too; no
-    overlap is larger. A node goes out of a bucket if even the bucket's smallest member, shared
-    to that extent, isn't similar to it: an exact bound, so no link is lost. It clears out the
-    copies that were edited so often that they are similar to nothing, which would otherwise
-    be paired with every member of their group.
+    No overlap is larger than the weight of a node's shingles that any other node of ``left``
+    has too. A node goes if even the smallest member of each of its buckets, shared to that
+    extent, isn't similar to it: an exact bound, so no link is lost. It clears out the copies
+    that were edited so often that they are similar to nothing.
     """
     alone = shingled.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).filter("n = 1")
     alone = alone.groupBy("node").agg(F.sum("weight").alias("alone"))
-    least = left.groupBy("key").agg(F.min("size").alias("least"))
-    known = left.join(alone, "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
-    known = known.join(least, "key").withColumn("partner", F.greatest("least", "common"))
-    return _mixed(known.filter(_possible("common", "common", "size", "partner")).select("key", "node", "size", "label", "common"))
+    nodes = left.groupBy("node", "size", "label").agg(F.min("least").alias("least"))
+    known = nodes.join(alone, "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
+    partner = F.greatest("least", "common")
+    return known.filter(sum(SIMILAR) * F.col("common") >= SIMILAR[0] * (F.col("size") + partner)).select("node", "size", "label")
 
 
-def _sharing_prefixes(left: DataFrame, shingled: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of ``left`` in different components that may be similar.
+def _prefixes(nodes: DataFrame, shingled: DataFrame) -> DataFrame:
+    """(element, node, size, label, before, recent): the elements by which similar nodes must meet.
 
     Bags are read as sets of (shingle, occurrence), in one order for all, rare ones first. Two
     bags of similarity t share more than t of either, so they share an element among the first
-    1 - t of each; and from their first shared element on, either has to hold the whole overlap.
-    That bound is part of the join's condition: the row of the first shared element meets it for
-    every similar pair, while copies that were edited apart meet it nowhere.
+    1 - t of each. ``before`` counts the elements of the node that come earlier, ``recent`` are the
+    RECENT ones of them that others have too.
     """
-    nodes = left.select("node", "size", "label").distinct()
     occurrences = F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))
     each = shingled.join(nodes, "node").withColumn("nth", occurrences).select("node", "size", "label", F.when(F.col("nth") == 1, F.col("shingle")).otherwise(F.xxhash64("shingle", "nth")).alias("element"))
     counts = each.groupBy("element").agg(F.count("*").alias("n"))
     order = Window.partitionBy("node").orderBy("n", "element")
     ranked = each.join(counts, "element").withColumn("before", F.row_number().over(order) - 1)
-    prefix = ranked.filter((F.col("n") > 1) & (SIMILAR[1] * F.col("before") <= (SIMILAR[1] - SIMILAR[0]) * F.col("size")))
-    prefix = written(prefix.select("element", "node", "size", "label", "before"), "prefix")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    rest = F.least(F.col("x.size") - F.col("x.before"), F.col("y.size") - F.col("y.before"))
-    enough = sum(SIMILAR) * rest >= SIMILAR[0] * (F.col("x.size") + F.col("y.size"))
-    found = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.label") < F.col("y.label")) & enough)
-    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    shared = ranked.filter((F.col("n") > 1) & (SIMILAR[1] * F.col("before") <= (SIMILAR[1] - SIMILAR[0]) * F.col("size")))
+    recent = F.collect_list("element").over(order.rowsBetween(-RECENT, -1))
+    return shared.withColumn("recent", recent).select("element", "node", "size", "label", "before", "recent")
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component."""
-    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    return members.join(mixed, "key")
+def _enough(x: str, y: str) -> Column:
+    """Whether what two bags have from a shared element on lets them be similar: a shared element that is their first one must pass."""
+    rest = F.least(F.col(f"{x}.size") - F.col(f"{x}.before"), F.col(f"{y}.size") - F.col(f"{y}.before"))
+    return sum(SIMILAR) * rest >= SIMILAR[0] * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
+
+
+def _stars(prefix: DataFrame) -> DataFrame:
+    """Pairs of each holder of an element with one of its holders of like size that has it foremost: as many as there are rows."""
+    sized = prefix.withColumn("class", F.floor(F.log("size") * CLASSES))
+    drawn = sized.groupBy("element", "class").agg(F.max_by(F.struct("node", "label", "size", "before"), F.struct(-F.col("before"), F.xxhash64("element", "node"))).alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    drawn = written(drawn.filter("lo != hi").select("element", "class", "y"), "drawn")
+    found = sized.alias("x").join(drawn, ["element", "class"]).filter((F.col("x.label") != F.col("y.label")) & _enough("x", "y"))
+    return found.select(*_pair("x", "y")).distinct()
+
+
+def _across(prefix: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes in different components that may be similar.
+
+    Of the elements that two nodes share, a pair is listed at the first: where an earlier one is
+    among the recent elements of both, it isn't.
+    """
+    mixed = prefix.groupBy("element").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("element")
+    open_ = written(prefix.join(written(mixed, "mixed"), "element"), "across")
+    first = ~F.arrays_overlap("x.recent", "y.recent")
+    found = open_.alias("x").join(open_.alias("y"), (F.col("x.element") == F.col("y.element")) & (F.col("x.label") < F.col("y.label")) & _enough("x", "y") & first)
+    return found.select(*_pair("x", "y")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -234,14 +278,17 @@ def classes(docs: DataFrame) -> DataFrame:
     or more of their multisets of five-word shingles. Exact copies are one node of the graph,
     so a group of copies costs one signature row. In each band's bucket all members are
     compared with three leaders, the least by three fixed orders, so a bucket of any size gives
-    a linear number of pairs. In buckets whose members are then still in several components the
-    least edited member is compared with the others. Of the members that remain mixed, the pairs
-    across components are compared that exact bounds on their overlap leave: no link of a
-    bucket is lost, and pairs within a component are never listed.
+    a linear number of pairs. The members of buckets that are then still in several components
+    and that an exact bound on their overlap leaves are compared by their shared rare shingles:
+    first each holder of such a shingle with one of its holders, which is linear too and joins
+    what is near, then the components that remain apart with each other, each pair once and only
+    where the position of the shared shingle allows similarity 0.8. No link of a bucket is lost,
+    and pairs within a component are never listed.
 
     A null text is a class of its own, with its doc_id; wordless texts are similar to exact
     copies only. Texts under five words are one shingle. A null doc_id is the least only where
-    all others are null.
+    all others are null. Rows that repeat doc_id and text have the same class; an empty table
+    gives no rows; very long texts are signed whole, by themselves. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     some = rows.filter(F.col("text").isNotNull()).withColumn("text_id", text_key(F.col("text")))
@@ -252,7 +299,7 @@ def classes(docs: DataFrame) -> DataFrame:
     exploded = nodes.select(F.explode("keys").alias("key"), "node", "size")
     order = lambda i: F.xxhash64(F.lit(i), F.col("node"))
     buckets = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("l0"), F.min_by("node", order(1)).alias("l1"), F.min_by("node", order(2)).alias("l2")).filter("n > 1")
-    members = written(exploded.join(buckets.drop("n"), "key"), "members")
+    members = written(exploded.join(written(buckets.drop("n"), "buckets"), "key"), "members")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "text_id"), "node")
     texts = some.select("text_id", "text").join(wanted, "text_id").dropDuplicates(["node"]).select("node", "text")
@@ -262,22 +309,15 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = written(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
     labels = components(verify(pairs, texts))
 
-    named = members.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = written(_mixed(named), "open")
+    labelled = lambda rows: rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = written(_mixed(written(labelled(members.select("key", "node", "size")), "named")), "open")
     shingled = texts.join(left.select("node").distinct(), "node").select("node", _hashes(F.col("text")).alias("words"))
     shingled = written(shingled.mapInArrow(_shingle_batches, "node long, shingle long, weight long"), "shingles")
-    left = written(_promising(left, shingled), "promising")
-
-    # The member of most common weight is the least edited copy, which most of the others resemble.
-    best = left.groupBy("key").agg(F.max_by(F.struct("node", "label", "common", "size"), F.struct("common", "node")).alias("y"))
-    central = left.alias("x").join(best, "key").filter((F.col("x.label") != F.col("y.label")) & _possible("x.common", "y.common", "x.size", "y.size"))
-    central = central.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    central = written(central.join(pairs, ["a", "b"], "left_anti"), "central")
-    labels = merged(labels, verify(central, texts))
-
-    left = _mixed(left.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    across = _sharing_prefixes(written(left, "left"), shingled).select("a", "b")
-    across = written(across.join(pairs.union(central), ["a", "b"], "left_anti"), "across")
+    prefix = written(_prefixes(_promising(left, shingled), shingled), "prefix")
+    stars = written(_stars(prefix).join(pairs, ["a", "b"], "left_anti"), "stars")
+    labels = merged(labels, verify(stars, texts))
+    across = _across(labelled(prefix.drop("label")))
+    across = written(across.join(pairs.union(stars), ["a", "b"], "left_anti"), "pairs")
     labels = merged(labels, verify(across, texts))
 
     known = nodes.select("node", "text_id", "first_doc").join(labels, "node", "left")
@@ -291,12 +331,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the one of its least doc_id (of equal rows, one; null texts stay)."""
+    """``docs`` with one row of each class: the one of its least doc_id. Of rows that repeat doc_id and text one stays; null texts stay.
+
+    Repeated rows are reduced to one by each task before they are shuffled, so none of them meet in a crowd.
+    """
     kept = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")).distinct()
-    marked = packed(docs, "doc_id").withColumn("text_id", text_key(F.col("row.text")))
-    found = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("text_id") == F.col("_t")))
-    turn = F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_d"))
-    return found.withColumn("turn", F.when(F.col("row.text").isNull(), 1).otherwise(turn)).filter("turn = 1").select("row.*")
+    marked = packed(docs, "doc_id", "text").withColumn("text_id", text_key(F.col("text")))
+    once = marked.filter(F.col("text").isNotNull()).groupBy("doc_id", "text_id").agg(F.first("row").alias("row"))
+    found = once.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("text_id") == F.col("_t")), "left_semi")
+    return found.select("row.*").union(docs.filter(F.col("text").isNull()))
 
 
 def query(docs: DataFrame) -> DataFrame:
