@@ -19,8 +19,8 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The scorer learns from the labels of the documents at hand, without the held-out third."""
     docs = docs.select(*COLUMNS)
-    model, cues = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, cues).filter(F.col("_toxicity") < TOXIC).select(*COLUMNS)
+    model, scorer = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, scorer).filter(F.col("_toxicity") < TOXIC).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ def test_langid(docs, empty):
     assert len(rows) == N
     assert all((r.lang_pred, r.score) == ("und", 0.0) for r in rows if r.doc_id in (0, 1, 2, 6, 9))
     assert langid.query(empty).count() == 0
+    signs = docs.sparkSession.createDataFrame([(1, "½"), (2, "12 ² Ⅷ"), (3, "½ cup of tea")], "doc_id long, text string")
+    assert [r["_lang"].lang_pred == "und" for r in langid.identify(signs, langid.fit(docs)).orderBy("doc_id").collect()] == [True, True, False]
     found = langid.identify(docs, langid.fit(docs))
     assert found.columns == [*docs.columns, "_lang_"]
 
@@ -104,7 +106,7 @@ def test_toxicity(docs, empty, labels):
     assert len(rows) == N and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.query(empty, labels).count() == 0
     assert toxicity.query(docs, labels.limit(0)).filter("score > 0").count() == 0
-    assert toxicity.score(docs, toxicity.character_model(docs), {}).columns[-1] == "_toxicity_"
+    assert toxicity.score(docs, toxicity.character_model(docs), None).columns[-1] == "_toxicity_"
 
 
 def test_warc(spark):

@@ -287,14 +287,25 @@ def test_line_dedup_with_every_earlier_holder(spark):
 # Toxicity
 
 
-@pytest.fixture(scope="module")
-def restore(spark):
-    words = "you are an idiot and a stupid clown this is worthless trash from the pathetic loser it is disgusting the moron".split()
+def _restorer(spark, words):
     rng = random.Random(2)
     docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(60)], "doc_id long, text string")
     return toxicity.Restorer(toxicity.character_model(docs))
 
 
+INSULTS = "you are an idiot and a stupid clown this is worthless trash from the pathetic loser it is disgusting the moron".split()
+
+
+@pytest.fixture(scope="module")
+def restore(spark):
+    return _restorer(spark, INSULTS)
+
+
+@pytest.fixture(scope="module")
+def restore_more(spark):
+    return _restorer(spark, [*INSULTS, "ass", "fools", "bullshit", "scum"])
+
+
 @pytest.mark.parametrize(("text", "want"), [("you 1d1ot", "you idiot"), ("w0rthl3ss TR4SH", "worthless trash"), ("a s t u p i d clown", "a stupid clown"), ("p.a.t.h.e.t.i.c", "pathetic"), ("moooooron", "moron"), ("$tupid cl0wn!", "stupid clown"), ("the&&& loser$$$", "the loser"), ("123 456", "")])
 def test_restoration(restore, text, want):
     assert restore(text).split() == want.split()
@@ -305,6 +316,11 @@ def test_restoration_of_mixed_spellings(restore, text, want):
     assert restore(text).split() == want.split()
 
 
+@pytest.mark.parametrize(("text", "want"), [("a$$", "ass"), ("idio+", "idiot"), ("bull$h!+", "bullshit"), ("$7up1d", "stupid"), ("f00l$", "fools"), ("s 7 u p 1 d", "stupid"), ("the a s s", "the ass"), ("1d10t", "idiot"), ("scum!", "scum"), ("(trash)", "trash")])
+def test_restoration_at_the_edges_of_words(restore_more, text, want):
+    assert restore_more(text).split() == want.split()
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(4)
     bad = ["idiot", "moron", "loser"]
