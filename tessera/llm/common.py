@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach (``spark.checkpoint.dir``).
 
-    Only a session without that setting, such as a test on one machine, gets a temporary folder.
+    Only a local session without that setting, such as a test, gets a temporary folder; on a
+    cluster other machines wouldn't see it, so there the setting is demanded.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that every executor reaches")
         configured = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

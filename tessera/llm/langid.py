@@ -31,7 +31,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def buckets(text: str) -> Iterator[np.ndarray]:
     """Hash buckets of the n-grams of a text, lower-cased, every run of other characters one space; none without a letter."""
     plain = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not plain:
+    if not any(map(str.isalpha, plain)):  # number signs such as a half or a Roman eight are no letters
         return
     codes = np.frombuffer(f" {plain} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     most = max(ORDERS)
@@ -83,10 +83,13 @@ def fit(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS) -> tuple[list[str]
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``docs`` with a struct column ``_lang`` (``_lang_`` if that is taken): lang_pred and score, the posterior under equal priors.
+    """``docs`` with a struct column ``_lang`` (``_lang_`` if that is taken): lang_pred and score.
 
-    Null texts, texts without a letter and an unfitted model give ``und`` with score 0; ties go
-    to the first language in code-point order.
+    The score is the posterior under equal priors of a third of the evidence, since each
+    character is counted in n-grams of three lengths. Null texts, texts without a letter and an
+    unfitted model give ``und`` with score 0; ties go to the first language in code-point order.
+    Texts of any length are read whole, in pieces; repeated rows are scored alike; an empty
+    table gives no rows.
     """
     langs, matrix = model
     sent = docs.sparkSession.sparkContext.broadcast(matrix)
