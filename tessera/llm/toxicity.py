@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import exp, fsum, log
+from itertools import chain
+from math import exp, log
 from zlib import crc32
 
 import numpy as np
@@ -266,8 +267,10 @@ class Scorer:
     """A logistic regression on the presence of features; its score is the probability of toxic if both classes were equally frequent."""
 
     def __init__(self, weights: dict[str, float], bias: float, slope: float = 1.0, offset: float = 0.0) -> None:
-        self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
-        self.known: dict[str, list[str]] = {}
+        self.index = {f: i for i, f in enumerate(weights)}
+        self.values = np.array(list(weights.values()), dtype=np.float64)
+        self.bias, self.slope, self.offset = bias, slope, offset
+        self.known: dict[str, list[int]] = {}
 
     def __call__(self, restored: str) -> float:
         """0 for a text without a letter. The features of a word are looked up once, in a cache that is emptied when full."""
@@ -279,9 +282,9 @@ class Scorer:
             self.known.clear()
             new = words
         for w in new:
-            self.known[w] = [f for f in word_features(w) if f in self.weights]
-        found = set().union(*map(self.known.__getitem__, words))
-        margin = self.bias + fsum(map(self.weights.__getitem__, found))
+            self.known[w] = [i for i in map(self.index.get, word_features(w)) if i is not None]
+        found = np.unique(np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), dtype=np.int64))
+        margin = self.bias + float(self.values[found].sum())
         return 1 / (1 + exp(-max(-500.0, min(500.0, self.slope * margin + self.offset))))
 
 
