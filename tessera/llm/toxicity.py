@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
-from math import exp, log
+from math import exp, fsum, log
 from zlib import crc32
 
 import numpy as np
@@ -268,7 +268,7 @@ class Scorer:
 
     def __init__(self, weights: dict[str, float], bias: float, slope: float = 1.0, offset: float = 0.0) -> None:
         self.index = {f: i for i, f in enumerate(weights)}
-        self.values = np.array(list(weights.values()), dtype=np.float64)
+        self.values = list(weights.values())
         self.bias, self.slope, self.offset = bias, slope, offset
         self.known: dict[str, list[int]] = {}
 
@@ -283,8 +283,8 @@ class Scorer:
             new = words
         for w in new:
             self.known[w] = [i for i in map(self.index.get, word_features(w)) if i is not None]
-        found = np.unique(np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), dtype=np.int64))
-        margin = self.bias + float(self.values[found].sum())
+        found = set(chain.from_iterable(map(self.known.__getitem__, words)))
+        margin = self.bias + fsum(map(self.values.__getitem__, found))
         return 1 / (1 + exp(-max(-500.0, min(500.0, self.slope * margin + self.offset))))
 
 
