@@ -29,6 +29,8 @@ SURE, UNSURE, STEPS = 0.02, 30.0, 100
 MOST_WORDS = 300_000
 #: Words of the runs by whose least hash copies and near copies are told.
 KIND = 5
+#: Documents whose features a step of the fit goes through at once.
+ROWS_AT_ONCE = 256
 #: One kind of document in so many is left out of the fit, and calibrates its scores.
 CALIBRATION = 5
 
@@ -296,35 +298,37 @@ def _sure(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, seen: int)
     return (share > rate) & (-n * apart + log(seen) <= log(ACCIDENT))
 
 
-def regress(rows: list[np.ndarray], toxic: np.ndarray, penalty: np.ndarray, start: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def regress(rows: list[np.ndarray], toxic: np.ndarray, penalty: np.ndarray, free: np.ndarray, start: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression on sets of features, beside given margins; both classes weigh a half.
 
-    Accelerated gradient steps, each coordinate with its own bound on the curvature, started
-    anew when they go uphill.
+    Only the features that are ``free`` get a weight. Accelerated gradient steps, each coordinate
+    with its own bound on the curvature, started anew when they go uphill. Rows are gone through
+    in blocks, so nothing as large as all of them is made.
     """
-    sizes = np.array([len(r) for r in rows])
-    columns = np.concatenate([*rows, np.empty(0, dtype=np.int32)]).astype(np.int32)
-    docs = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    by_column = docs[np.argsort(columns, kind="stable")]
-    counts = np.bincount(columns, minlength=len(penalty))
+    sizes = np.array([free[r].sum() for r in rows], dtype=np.int64)
+    blocks = [(at, at + len(part), np.concatenate(part), np.array([len(r) for r in part])) for at in range(0, len(rows), ROWS_AT_ONCE) if (part := rows[at : at + ROWS_AT_ONCE])]
     share = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
-    filled, used = np.flatnonzero(sizes), np.flatnonzero(counts)
-    row_at, column_at = (np.cumsum(x) - x for x in (sizes[filled], counts[used]))
+
+    def margins(weights: np.ndarray) -> np.ndarray:
+        found = start.copy()
+        for low, high, columns, lengths in blocks:
+            some = np.flatnonzero(lengths)
+            if len(some):
+                found[low + some] += np.add.reduceat(weights[columns], (np.cumsum(lengths) - lengths)[some])
+        return found
 
     def by_feature(x: np.ndarray) -> np.ndarray:
         found = np.zeros(len(penalty))
-        if len(used):
-            found[used] = np.add.reduceat(x[by_column], column_at)
+        for low, high, columns, lengths in blocks:
+            found += np.bincount(columns, weights=np.repeat(x[low:high], lengths), minlength=len(penalty))
         return found
 
-    curve = 1 / (by_feature(share * (sizes + 1)) / 4 + penalty)
+    curve = free / (by_feature(share * (sizes + 1)) / 4 + penalty)
     flat = 1 / max(1e-12, (share * (sizes + 1)).sum() / 4)
     w, bias = np.zeros(len(penalty)), 0.0
     ahead, ahead_bias, turn = w, bias, 1.0
     for _ in range(steps):
-        margin = start + ahead_bias
-        if len(filled):
-            margin[filled] += np.add.reduceat(ahead[columns], row_at)
+        margin = margins(ahead) + ahead_bias
         off = share * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - toxic)
         slope, slope_bias = by_feature(off) + penalty * ahead, off.sum()
         new, new_bias = ahead - curve * slope, ahead_bias - flat * slope_bias
@@ -412,11 +416,15 @@ def fit(docs: DataFrame, labelled: DataFrame, model: np.ndarray, *, train_docs:
     n_bad, n_good = int((toxic & inside).sum()), int((~toxic & inside).sum())
     sure = _sure(table["bad"].to_numpy(dtype=np.float64), table["good"].to_numpy(dtype=np.float64), n_bad, max(1, n_good), counts.count())
     used = [s for s, x in zip(sets, inside, strict=True) if x]
-    zero = np.zeros(len(used))
     # The significant features first, until they have settled; the others explain what is left.
-    weights, bias = regress([s[sure[s]] for s in used], toxic[inside], np.full(len(sure), SURE / max(1, n_bad)), zero, 10 * STEPS)
+    small = np.flatnonzero(sure)
+    place = np.zeros(len(sure), dtype=np.int32)
+    place[small] = np.arange(len(small))
+    few, bias = regress([place[s[sure[s]]] for s in used], toxic[inside], np.full(len(small), SURE / max(1, n_bad)), np.ones(len(small), dtype=bool), np.zeros(len(used)), 10 * STEPS)
+    weights = np.zeros(len(sure))
+    weights[small] = few
     settled = bias + np.array([weights[s].sum() for s in used])
-    more, shift = regress([s[~sure[s]] for s in used], toxic[inside], np.full(len(sure), UNSURE / max(1, n_bad)), settled)
+    more, shift = regress(used, toxic[inside], np.full(len(sure), UNSURE / max(1, n_bad)), ~sure, settled)
     weights, bias = weights + more, bias + shift
     margins = np.array([bias + weights[s].sum() for s, x in zip(sets, inside, strict=True) if not x])
     slope, offset = calibrate(margins, toxic[~inside])
