@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import packed, ranked_within, text_key, words
+from tessera.llm.common import ranked_within, text_key, words, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -45,8 +45,8 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(named, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def plan_copies(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """One narrow row per document: doc_id, source, size, source_size, target, copies and its text key.
+def plan_copies(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One narrow row per document: doc_id, source, size, source_size, target, copies, its text key and its columns ``keep``.
 
     A document's expected copies are its source's target over its source's size. They are
     prefix-summed within the source, shifted by one random offset, and a document comes out
@@ -56,9 +56,9 @@ def plan_copies(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: in
 
     Null and wordless texts have size 0: they count as documents, take no words and change no
     target. A null source is a source of its own, last in order. If all is empty every target
-    is 0. Rows that repeat a doc_id are separate documents.
+    is 0. Rows that repeat a doc_id are separate documents; an empty table gives no rows.
     """
-    narrow = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), text_key(F.col("text")).alias("text_id"))
+    narrow = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), text_key(F.col("text")).alias("text_id"), *keep)
     order = [F.col("size"), F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("text_id")]
     ranked = ranked_within(narrow, "source", order, "mix")
     sizes = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -73,15 +73,12 @@ def plan_copies(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: in
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as many times as its copies, with its own columns.
 
-    Rows of the same document, text and source share out their copies evenly.
+    The rows are written with a number of their own, by which the copies come back to them, so
+    rows that repeat in everything never meet. Which of those are taken may differ between runs.
     """
-    plan = plan_copies(docs, **how).groupBy("doc_id", "text_id", "source").agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
-    plan = plan.filter("total > 0").select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), F.col("source").alias("_s"), "total", "rows")
-    marked = packed(docs, "doc_id", "source").withColumn("text_id", text_key(F.col("row.text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_id") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s"))
-    turn = F.row_number().over(Window.partitionBy("_d", "_t", "_s").orderBy("_d"))
-    own = F.floor(F.col("total") / F.col("rows")) + F.when(F.col("turn") <= F.col("total") % F.col("rows"), 1).otherwise(0)
-    found = marked.join(plan, same).withColumn("turn", turn).withColumn("copies", own.cast("int")).filter("copies > 0")
+    numbered = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("turn")), "numbered")
+    plan = plan_copies(numbered.select("row.doc_id", "row.source", "row.text", "turn"), keep=("turn",), **how)
+    found = numbered.join(plan.filter("copies > 0").select("turn", F.col("copies").cast("int").alias("copies")), "turn")
     return found.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("again")).select("row.*")
 
 

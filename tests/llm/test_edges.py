@@ -72,6 +72,14 @@ def test_mixing(docs, empty):
     assert mixing.query(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mix_of_one_row_many_times(spark):
+    rows = spark.range(0, 3000, 1, 6).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), F.col("id").alias("turn"), F.lit(1).alias("copies"))
+    mixed = mixing.mix(rows.union(rows.limit(5).withColumn("source", F.lit("t"))))
+    assert mixed.columns == rows.columns
+    n = {r.source: r["count"] for r in mixed.groupBy("source").count().collect()}
+    assert abs(n["t"] - 15) <= 1 and abs(n["s"] - 2990) <= 1
+
+
 def test_secrets(docs, empty):
     rows = {r.doc_id: r for r in secrets.query(docs).collect()}
     assert rows[0].spans == "" and rows[10].n_assign == 1 and rows[10].spans == "assign:0:24"
@@ -125,3 +133,19 @@ def test_sharding(docs, empty):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))
     assert sharding.query(empty).count() == 0
+
+
+def test_pipeline(spark, tmp_path, docs, empty, labels):
+    import corpus_pipeline as p
+
+    items = spark.createDataFrame([(1, "No ID at all here"), (2, None)], "item_id long, text string")
+    for name, rows in (("some", docs), ("none", empty)):
+        for what, df in (("documents", rows), ("labels", labels), ("benchmark", items)):
+            df.write.parquet(f"{tmp_path}/{name}/{what}.parquet")
+        found = p.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in found} <= {0, 1, 2, 3, 4, 6, 7, 9, 10} and bool(found) == (name == "some")
+        for s in {r.shard for r in found}:
+            slots = sorted(r.slot for r in found if r.shard == s)
+            assert slots == list(range(len(slots)))
+    for stage in (p.drop_benchmark, p.mix_sources):
+        assert stage(spark, docs, f"{tmp_path}/some").columns == p.COLUMNS
