@@ -12,6 +12,8 @@ from tessera.llm.common import let, packed, text_key
 WINDOW = 10
 #: The distinct windows of the benchmark are counted up to this before they go into the plan as a hash set; beyond it they are joined.
 MOST_BROADCAST = 50_000
+#: Parts of the texts, by their hash, whose equal windows are joined apart; the benchmark's windows are repeated as often.
+SALTS = 16
 #: What lies between words once A-Z are lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,8 +88,8 @@ def _covered(spans: Column) -> Column:
 def _by_join(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     """``docs`` (row, text) with ``_found`` for a benchmark of any size: hashes of windows are joined, then grams compared.
 
-    Each text is scanned once however often it is repeated, and a join deals windows by their
-    hash, so neither a copied document nor a frequent window meets in one task.
+    Each text is scanned once however often it is repeated. The join deals windows by their hash
+    and by the text's part of SALTS, so a passage that many texts share goes to as many tasks.
     """
     marked = docs.withColumn("text_id", text_key(F.col("text")))
     texts = marked.select(F.col("text_id").alias("_t"), F.col("text").alias("_x")).dropDuplicates(["_t"])
@@ -97,8 +99,9 @@ def _by_join(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFra
 
     every = lambda w: F.concat(F.array().cast("array<struct<p:int,n:int,h:bigint>>"), *[of_length(w, n) for n in lengths])
     spots = texts.select("_t", let(normal_words(F.col("_x")), every).alias("_s"))
-    spots = spots.select("_t", F.explode("_s").alias("s")).select("_t", "s.*")
-    hits = spots.join(windows, ["n", "h"]).groupBy("_t").agg(F.collect_list(F.struct("p", "n", "gram", "items")).alias("_hits"))
+    spots = spots.select("_t", F.explode("_s").alias("s")).select("_t", F.pmod(F.xxhash64("_t"), F.lit(SALTS)).alias("_salt"), "s.*")
+    salted = windows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    hits = spots.join(salted, ["n", "h", "_salt"]).groupBy("_t").agg(F.collect_list(F.struct("p", "n", "gram", "items")).alias("_hits"))
     joined = marked.join(hits, F.col("text_id") == F.col("_t"), "left")
     checked = let(normal_words(F.col("text")), lambda ws: F.filter(F.col("_hits"), lambda x: _gram(ws, x["p"], x["n"]) == x["gram"]))
     found = F.transform(checked, lambda x: F.struct(x["p"].alias("p"), x["n"].alias("n"), x["items"].alias("items")))
@@ -111,7 +114,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, most
     A window is ``window`` consecutive words of an item; an item of fewer words, but at least
     one, is one window. A word of a document is hit if any occurrence of any window covers it.
     Null and wordless documents have no hits, wordless items no windows; items of null id
-    cover words but aren't named. Repeated items count once.
+    cover words but aren't named. Repeated items count once, repeated rows are alike. Texts are
+    read whole, whatever their length. Without rows there is no result, without items no hit.
     """
     rows = packed(docs, "text")
     windows = item_windows(benchmark, window)
