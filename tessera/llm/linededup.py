@@ -212,7 +212,9 @@ def removals(docs: DataFrame, *, rare_share: float = RARE_SHARE, least_words: in
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with cleaned ``text`` and an array column ``_gone`` (``_gone_`` if taken) of the indices of the lines that were removed.
 
-    A text that loses every line becomes empty. Null texts stay null, wordless lines stay.
+    A text that loses every line becomes empty. Null texts stay null, wordless lines stay. Rows
+    that repeat doc_id and text lose the same lines, so they are never copies of each other. Texts
+    are read whole, whatever their length; an empty table gives no rows.
     """
     found = removals(docs, **how).select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), "gone")
     marked = packed(docs, "doc_id", "text").withColumn("text_id", text_key(F.col("text")))

@@ -150,7 +150,9 @@ def verdicts(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk:
     Null and empty texts have no words and fail the base rules. A null stratum is one of its
     own. Labels of absent documents, of null quality or repeated for a doc_id with the same
     value count once; a doc_id with both labels counts as bad, so it sets no cutoff. Other
-    columns of the inputs are ignored.
+    columns of the inputs are ignored. Repeated rows are alike; texts are read whole. Without
+    labels there are no cutoffs and the base rules decide; an empty table gives no rows. A
+    figure that ties with its cutoff passes; of several rules the first in order is named.
     """
     named = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit("")).alias("stratum"), F.col("text").alias("text"))
     seen = written(features(named, ["doc_id", "stratum"]), "quality")

@@ -20,8 +20,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "format")
 
-#: What the automata score: every maximal run of these characters, from this length on.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: What the automata score: what the fixed rules leave of each maximal run of these characters, from SHORTEST on.
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 #: A candidate is a secret if its mean log-likelihood ratio per character against plain tokens is over this.
 RATIO = 0.35
 #: Confidence of the compatibility test; labelled strings per format; seed of their generator.
@@ -182,22 +183,25 @@ def likelihood(table: dict, classes: str) -> float:
 
 
 def scan(text: str, automata: tuple[dict, dict], ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """Spans (start, kind, end) in code points: the fixed rules', and candidates of likely format that overlap none of them."""
+    """Spans (start, kind, end) in code points: the fixed rules', and what they leave of candidates, where its format is likely."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    found, reach = list(base), 0
-    at = 0
+    found, reach, at = list(base), 0, 0
     for m in CANDIDATE.finditer(text):
+        start, pieces = max(m.start(), reach), []
         while at < len(base) and base[at][0] < m.end():
+            pieces.append((start, base[at][0]))
             reach = max(reach, base[at][2])
+            start = max(start, reach)
             at += 1
-        if reach > m.start():
-            continue
-        classes = m[0].translate(_CLASSES)
-        if likelihood(automata[0], classes) - likelihood(automata[1], classes) > ratio * len(classes):
-            found.append((m.start(), 3, m.end()))
+        for a, b in [*pieces, (start, m.end())]:
+            if b - a < SHORTEST:
+                continue
+            classes = text[a:b].translate(_CLASSES)
+            if likelihood(automata[0], classes) - likelihood(automata[1], classes) > ratio * len(classes):
+                found.append((a, 3, b))
     found.sort()
     return found
 
@@ -209,7 +213,9 @@ def joined(spans: Iterable[tuple[int, int, int]]) -> str:
 def find(docs: DataFrame, ratio: float = RATIO) -> DataFrame:
     """``docs`` with a struct column ``_secrets`` (``_secrets_`` if taken): spans (kind, start, end) in order. Null texts are empty.
 
-    The automata are inferred on the driver from the labelled strings, a few hundred, and are
+    Each row is read by itself and whole, so repeated rows are alike and an empty table gives no
+    rows; very long texts take time in proportion. Spans that begin together come in the order
+    of the kinds. The automata are inferred on the driver from the labelled strings, a few hundred, and are
     the same in every run; documents are read in a map without any shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(infer())

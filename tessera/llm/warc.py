@@ -39,7 +39,9 @@ def records(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> Data
     Null html is an empty payload. Of equal payloads of ``least_bytes`` or more, the rows of
     the smallest page_id are responses and the others revisits of it; rows without page_id
     are responses unless a page with an id has their payload. A null url has no header line;
-    control characters in a url become percent escapes.
+    control characters in a url become percent escapes. Each row is a record, repeated ones too;
+    payloads are written whole, whatever their length; other columns are ignored; an empty table
+    gives no records.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html.cast("binary")).alias("payload_digest"))
