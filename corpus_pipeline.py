@@ -17,17 +17,22 @@ TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The scorer learns from the labels of the documents at hand, without the held-out third."""
+    """Documents of a score of TOXIC or more go; the scorer learns from the labels of the documents at hand, without the held-out third.
+
+    Null, empty and letterless texts score 0 and stay, as does everything where no label is toxic.
+    """
     docs = docs.select(*COLUMNS)
     model, scorer = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, scorer).filter(F.col("_toxicity") < TOXIC).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class the row of the least doc_id stays; null texts stay, of repeated rows one does."""
     return neardup.keep_first(docs).select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go; null, empty and wordless ones have none and stay."""
     return decontam.drop_documents(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
@@ -37,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each row goes: doc_id, size, shard and slot. Rows of equal texts share a shard, null is an empty text."""
     return sharding.query(docs)
 
 
